@@ -47,6 +47,18 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text")
 
 
+def text_hash() -> Column:
+    """A text's 64-bit hash: with the doc_id it tells rows apart that share a doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of whole documents with (doc_id, text_hash) ``keys``, null ids too."""
+    keys = keys.select(F.col("doc_id").alias("_runweave_id"), F.col("text_hash").alias("_runweave_hash"))
+    same = docs["doc_id"].eqNullSafe(keys["_runweave_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["_runweave_hash"])
+    return docs.join(keys, same, how)
+
+
 def over_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that is made once for each task and called for each batch."""
 

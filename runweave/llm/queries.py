@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import byte_bpe, repair, sharding
+from runweave.llm import byte_bpe, repair, sharding, simhash
 from runweave.llm.common import documents
 
 
@@ -21,11 +21,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit fingerprints of three-word shingles, linked at three differing bits or fewer."""
+    rows = simhash.components_of(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids written as Re-Pair blocks, in ascending doc_id order, and read back."""
     table = repair.save(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return repair.digests(repair.read(table))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op8_repair)}
+QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op6_simhash, op8_repair)}
 ORACLE_SQL: dict[str, str] = {}
