@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import byte_bpe, repair, sharding, simhash
+from runweave.llm import byte_bpe, repair, sharding, simhash, substring
 from runweave.llm.common import documents
 
 
@@ -33,5 +33,10 @@ def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.read(table))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op6_simhash, op8_repair)}
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of 50 words and more that an earlier document holds too, removed."""
+    return substring.digests(documents(spark, sf_dir)).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op6_simhash, op8_repair, op9_substring)}
 ORACLE_SQL: dict[str, str] = {}
