@@ -6,8 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import byte_bpe, repair, sharding, simhash, substring
-from runweave.llm.common import documents
+from runweave.llm import byte_bpe, decontamination, repair, sharding, simhash, substring, toxicity
+from runweave.llm.common import documents, held_out
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every confirmed hit of a benchmark item in a document."""
+    return decontamination.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labelled rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = toxicity.scored(docs, model)
+    return score.select("doc_id", held_out(3).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids written as Re-Pair blocks, in ascending doc_id order, and read back."""
     table = repair.save(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -38,5 +51,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op6_simhash, op8_repair, op9_substring)}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_decontamination, op4_sharding, op5_byte_bpe, op6_simhash, op7_toxicity, op8_repair, op9_substring)
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from runweave.llm.common import columns, over_rows, running_total, text_bytes, written
 
 #: Ids in a block, rounds of replacement, pairs replaced in a round, and how often a pair must occur.
+SLOT_BITS = 20
 BLOCK_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 5, 4096, 24
 MEMO_WORDS = 1_000_000
+MARKS = b'.,;:!?%#*+-=|/\\()[]{}<>"&$@^_`~'
 BLOCKS = "shard int, block int, first long, n_tokens long, base int, doc_ids binary, lengths binary, left binary, right binary, sizes binary, ids binary"
 
 
@@ -56,14 +58,14 @@ class Words:
         return cls._made[path]
 
     def learn(self, missing: set[bytes]) -> None:
-        """Look up new words: each as a stem and final stops or commas, where the tokenizer parts
-        them too (after an ASCII letter or digit). ASCII words are lowered first, as the tokenizer
-        does after composing."""
+        """Look up new words: each as a stem and the punctuation that ends it, where the tokenizer
+        parts them too (after a letter or digit; no apostrophe, it may begin a contraction). ASCII
+        words are lowered first, as the tokenizer does after composing."""
         known, split, fresh = self.known, [], {}
         for word in missing:
             low = word.lower() if word.isascii() else word
-            stem = low.rstrip(b".,")
-            if len(stem) == len(low) or not stem[-1:].isalnum():
+            stem = low.rstrip(MARKS)
+            if len(stem) == len(low) or not (stem[-1:].isalnum() or stem.decode()[-1:].lower().isalpha()):
                 stem = low
             rest = low[len(stem) :]
             split.append((word, stem, rest))
@@ -80,7 +82,7 @@ class Words:
         """The ids of each text as little-endian 32-bit integers."""
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
-        words = [t.split() for t in texts]
+        words = [(t.lower() if t.isascii() else t).split() for t in texts]
         found = [list(map(self.known.get, w)) for w in words]
         if missing := {x for w, f in zip(words, found, strict=True) if None in f for x, v in zip(w, f, strict=True) if v is None}:
             self.learn(missing)
@@ -88,6 +90,10 @@ class Words:
         return [b"".join(f) for f in found]
 
 
+def slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
 def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), expansion lengths and the remaining sequence of a block.
 
@@ -108,15 +114,18 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
         if not len(often):
             break
         often = often[np.lexsort((ordered[starts[often]], -counts[often]))][:PAIRS]
-        pairs = np.sort(ordered[starts[often]])
-        rule = np.searchsorted(pairs, keys)
-        rule[rule == len(pairs)] = 0
+        pairs = ordered[starts[often]]
+        rule_at = np.zeros(1 << SLOT_BITS, np.int16)
+        rule_at[slot(pairs)] = np.arange(len(pairs))
+        pairs = pairs[rule_at[slot(pairs)] == np.arange(len(pairs))]  # of pairs that share a slot one waits for the next round
+        rule_at[slot(pairs)] = np.arange(len(pairs))
+        rule = rule_at[slot(keys)]
         at = np.flatnonzero(pairs[rule] == keys)
         # in a run of neighbouring occurrences every second one is replaced
         first = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
         run = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
         at = at[run % 2 == 0]
-        seq[at] = span + rule[at]
+        seq[at] = span + rule[at].astype(np.int64)
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
