@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import byte_bpe, decontamination, imatch, repair, sharding, simhash, substring, toxicity
+from runweave.llm import brown, byte_bpe, decontamination, imatch, repair, sharding, simhash, substring, toxicity
 from runweave.llm.common import documents, held_out
 
 
@@ -16,6 +16,11 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compared(docs, imatch.band(docs))
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts under class bigrams and under unigrams of the training rows."""
+    return brown.scores(documents(spark, sf_dir), held_out(5))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every confirmed hit of a benchmark item in a document."""
     return decontamination.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -59,6 +64,6 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_imatch, op3_decontamination, op4_sharding, op5_byte_bpe, op6_simhash, op7_toxicity, op8_repair, op9_substring)
+    for f in (op1_imatch, op2_brown, op3_decontamination, op4_sharding, op5_byte_bpe, op6_simhash, op7_toxicity, op8_repair, op9_substring)
 }
 ORACLE_SQL: dict[str, str] = {}

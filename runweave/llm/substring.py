@@ -17,7 +17,7 @@ than each other; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runweave.llm import windows
-from runweave.llm.common import numbers, over_rows, text_bytes, written
+from runweave.llm.common import by_key, numbers, over_rows, text_bytes, written
 
 WINDOW, SEED = 50, 30
 
@@ -60,28 +60,6 @@ def repeats(values: np.ndarray) -> bool:
     return bool((ordered[1:] == ordered[:-1]).any())
 
 
-def by_key(df: DataFrame, key: str, order: list[str], each: Callable, schema: str) -> DataFrame:
-    """Deal rows by ``key``, sort them, and stream them through ``each(columns, new, state)``.
-
-    ``new`` marks rows whose key differs from the row before, across batches too; ``state`` is a
-    dict that stays between batches. Memory does not grow with the rows of a key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            keys = columns[0]
-            new = np.append(last is None or keys[0] != last, keys[1:] != keys[:-1])
-            last = keys[-1]
-            yield each(columns, new, state)
-        if state.get("end"):
-            yield state["end"]()
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
-
-
 def met(rows: DataFrame) -> DataFrame:
     """(doc_id, context, earlier): contexts that an earlier document also has (true), and those of
     a class's first documents where the anchor has other contexts too (false)."""
