@@ -16,9 +16,10 @@ an empty file; further columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runweave.llm import windows
 from runweave.llm.common import columns, over_rows, running_total, text_bytes, written
 
 #: Ids in a block, rounds of replacement, pairs replaced in a round, and how often a pair must occur.
 SLOT_BITS = 20
 BLOCK_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 5, 4096, 24
 MEMO_WORDS = 1_000_000
-MARKS = b'.,;:!?%#*+-=|/\\()[]{}<>"&$@^_`~'
+PLACE_BITS, JOINED = 21, 200
+_MARK, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_MARK[list(b'.,;:!?%#*+-=|/\\()[]{}<>"&$@^_`~')] = True
+_LETTER[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_LOWER[65:91] += 32
 BLOCKS = "shard int, block int, first long, n_tokens long, base int, doc_ids binary, lengths binary, left binary, right binary, sizes binary, ids binary"
 
 
 class Words:
-    """The tokenizer, word by word: white space always ends a token, so a text's ids are those of
-    its words in order. Words that were seen before are looked up."""
+    """The tokenizer, word by word, for all texts of a batch at once.
+
+    White space always ends a token, and so does the place where the punctuation that ends a word
+    follows an ASCII letter or digit (apostrophes may begin a contraction and stay with the word);
+    a text's ids are those of these pieces in order. ASCII words are lowered first, as the tokenizer
+    does after composing. Pieces are known by length and a 64-bit hash; ids of known ones come from
+    a table, new ones go to the tokenizer, each once."""
 
     _made: dict[str, Words] = {}
 
@@ -49,7 +60,9 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
+        self.final = np.zeros(self.size, bool)  # tokens that end a word
+        self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -57,37 +70,108 @@ class Words:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, missing: set[bytes]) -> None:
-        """Look up new words: each as a stem and the punctuation that ends it, where the tokenizer
-        parts them too (after a letter or digit; no apostrophe, it may begin a contraction). ASCII
-        words are lowered first, as the tokenizer does after composing."""
-        known, split, fresh = self.known, [], {}
-        for word in missing:
-            low = word.lower() if word.isascii() else word
-            stem = low.rstrip(MARKS)
-            if len(stem) == len(low) or not (stem[-1:].isalnum() or stem.decode()[-1:].lower().isalpha()):
-                stem = low
-            rest = low[len(stem) :]
-            split.append((word, stem, rest))
-            for part in (stem, rest):
-                if part not in known:
-                    fresh[part] = None
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        known.update(zip(fresh, (array("I", e.ids).tobytes() for e in found), strict=True))
-        for word, stem, rest in split:
-            if word is not stem:
-                known[word] = known[stem] + known[rest] if rest else known[stem]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        if len(self.known) > MEMO_WORDS:
-            self.known.clear()
-        words = [(t.lower() if t.isascii() else t).split() for t in texts]
-        found = [list(map(self.known.get, w)) for w in words]
-        if missing := {x for w, f in zip(words, found, strict=True) if None in f for x, v in zip(w, f, strict=True) if v is None}:
-            self.learn(missing)
-            found = [list(map(self.known.__getitem__, w)) if None in f else f for w, f in zip(words, found, strict=True)]
-        return [b"".join(f) for f in found]
+    def forget(self) -> None:
+        self.place = np.full(1 << PLACE_BITS, -1, np.int32)
+        self.unit = np.zeros(MEMO_WORDS, np.uint64)
+        self.begin, self.count = np.zeros(MEMO_WORDS + 1, np.int64), np.zeros(MEMO_WORDS, np.int64)
+        self.ids = np.zeros(4 * MEMO_WORDS, np.uint32)
+        self.known = 0
+
+    def look_up(self, units: np.ndarray) -> np.ndarray:
+        """The number of each unit, -1 if it is new."""
+        out = np.full(len(units), -1, np.int32)
+        todo = np.arange(len(units))
+        at = (units >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        while len(todo):
+            number = self.place[at]
+            taken = number >= 0
+            todo, at, number = todo[taken], at[taken], number[taken]
+            hit = self.unit[number] == units[todo]
+            out[todo[hit]] = number[hit]
+            todo, at = todo[~hit], (at[~hit] + 1) % len(self.place)
+        return out
+
+    def learn(self, units: np.ndarray, pieces: list[bytes]) -> None:
+        """Add distinct new units with the ids of their pieces."""
+        flat, count = self.tokenized([p.decode() for p in pieces])
+        n, start = self.known, int(self.begin[self.known])
+        if start + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
+        self.ids[start : start + len(flat)] = flat
+        self.count[n : n + len(count)] = count
+        self.begin[n + 1 : n + len(count) + 1] = start + np.cumsum(count)
+        self.unit[n : n + len(units)] = units
+        self.known += len(units)
+        todo = np.arange(n, self.known)
+        at = (units >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        while len(todo):
+            free = self.place[at] < 0
+            self.place[at[free]] = todo[free]  # of several for one place the last stays
+            won = self.place[at] == todo
+            todo, at = todo[~won], (at[~won] + 1) % len(self.place)
+
+    def tokenized(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has.
+
+        Pieces of letters alone are one word to the tokenizer, and a word's last id is of a token
+        that ends words, so many of them go as one text; the others go one by one."""
+        plain = [i for i, p in enumerate(pieces) if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p).lower().isalpha())]
+        joined = [" ".join(pieces[i] for i in plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
+        flat = self._ids(joined)[0]
+        ends = np.flatnonzero(self.final[flat]) + 1
+        if len(ends) != len(plain) or (len(ends) and ends[-1] != len(flat)):
+            return self._ids(pieces)
+        rest = np.delete(np.arange(len(pieces)), plain)
+        other, sizes = self._ids([pieces[i] for i in rest.tolist()])
+        count = np.zeros(len(pieces), np.int64)
+        count[plain], count[rest] = np.diff(ends, prepend=0), sizes
+        out, begin = np.empty(int(count.sum()), np.uint32), np.cumsum(count) - count
+        for which, ids in ((np.array(plain, np.int64), flat), (rest, other)):
+            n = count[which]
+            out[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, count
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes and offsets, as in an Arrow array) and where each text's begin."""
+        data, starts, ends, first = word_pieces(data, offsets)
+        units = windows.hashes(windows.prefix(windows.byte_units(data)), starts, ends) ^ windows.mix((ends - starts).astype(np.uint64))
+        number = self.look_up(units)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh, one = np.unique(units[new], return_index=True)
+            if self.known + len(fresh) > MEMO_WORDS:
+                self.forget()
+                fresh, one = np.unique(units, return_index=True)
+                new = np.arange(len(units))
+            raw, at = data.tobytes(), new[one]
+            self.learn(fresh, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            number[new] = self.look_up(units[new])
+        count = self.count[number]
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.ids[np.repeat(self.begin[number] - total[:-1], count) + np.arange(total[-1])]
+        return ids, total[first]
+
+
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with ASCII words lowered, starts and ends of pieces, each text's first piece."""
+    _, starts, ends, _ = windows.words(data, offsets)
+    if not len(starts):
+        return data, starts, ends, np.zeros(len(offsets), np.int64)
+    high = np.add.reduceat(data >= 128, starts, dtype=np.int64) > 0
+    out = _LOWER[data]
+    out[starts[0] :] = np.where(np.repeat(high, np.diff(np.append(starts, len(data)))), data[starts[0] :], out[starts[0] :])
+    plain = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))  # the last byte that is no mark
+    cut = plain[ends - 1] + 1
+    split = (cut > starts) & (cut < ends)
+    split[split] = _LETTER[data[cut[split] - 1]]
+    begin = np.insert(starts, np.flatnonzero(split) + 1, cut[split])
+    end = np.insert(ends, np.flatnonzero(split), cut[split])
+    return out, begin, end, np.searchsorted(begin, offsets)
 
 
 def slot(keys: np.ndarray) -> np.ndarray:
@@ -211,15 +295,18 @@ def blocks(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
-            for i, data in zip(ids, words.encode(texts), strict=True):
-                if held and held + len(data) // 4 + 1 > BLOCK_IDS:
-                    yield flush()
-                    first, block, held = first + held, block + 1, 0
-                    names, parts = [], []
-                names.append(-(1 << 63) if i is None else i)
-                parts.append(data + end)
-                held += len(data) // 4 + 1
+            ids = columns(batch, "doc_id")[0]
+            for row, stop, data, offsets in windows.pieces(batch, "text"):
+                flat, at = words.encode(data, offsets)
+                for k, i in enumerate(ids[row:stop]):
+                    own = flat[at[k] : at[k + 1]].tobytes()
+                    if held and held + len(own) // 4 + 1 > BLOCK_IDS:
+                        yield flush()
+                        first, block, held = first + held, block + 1, 0
+                        names, parts = [], []
+                    names.append(-(1 << 63) if i is None else i)
+                    parts.append(own + end)
+                    held += len(own) // 4 + 1
         if held:
             yield flush()
 
