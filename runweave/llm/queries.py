@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import brown, byte_bpe, decontamination, imatch, repair, sharding, simhash, substring, toxicity
+from runweave.llm import brown, byte_bpe, decontamination, imatch, repair, sharding, simhash, substring, suffix, toxicity
 from runweave.llm.common import documents, held_out
 
 
@@ -62,8 +62,13 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(documents(spark, sf_dir)).drop("spans")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50-byte strings that an earlier document holds too, removed."""
+    return suffix.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_imatch, op2_brown, op3_decontamination, op4_sharding, op5_byte_bpe, op6_simhash, op7_toxicity, op8_repair, op9_substring)
+    for f in (op1_imatch, op2_brown, op3_decontamination, op4_sharding, op5_byte_bpe, op6_simhash, op7_toxicity, op8_repair, op9_substring, op10_suffix)
 }
 ORACLE_SQL: dict[str, str] = {}
