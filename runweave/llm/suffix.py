@@ -44,7 +44,7 @@ _LOW48 = np.uint64((1 << 48) - 1)
 def suffix_array(text: list[int]) -> list[int]:
     """Suffixes of ``text`` in order; its last entry must be its only least one."""
     n = len(text)
-    sa = sorted(range(n), key=text.__getitem__)
+    sa = np.argsort(np.array(text), kind="stable").tolist()
     place, group, size = [0] * n, [0] * n, [0] * n  # place in sa; first place of the group; its suffixes
     start = 0
     for k, i in enumerate(sa):
@@ -65,9 +65,11 @@ def suffix_array(text: list[int]) -> list[int]:
             if p >= 0:
                 children[p] = children.get(p, 0) + 1
         if children:
-            levels: dict[int, list[int]] = {}
-            for p, k in children.items():
-                levels.setdefault(k, []).append(p)
+            levels: dict[int, list[int]] = {1: list(children)}
+            if len(children) <= end - start:  # some may have more than one
+                levels = {}
+                for p, k in children.items():
+                    levels.setdefault(k, []).append(p)
             for k in sorted(levels, reverse=True):
                 moved: dict[int, int] = {}
                 for p in levels[k]:  # to the end of its group
@@ -254,40 +256,57 @@ def halves(texts: DataFrame) -> DataFrame:
 
 
 def shared_strings(parts: DataFrame) -> DataFrame:
-    """(doc_id, string): hashes of 50-byte strings that a part of an earlier document holds too."""
+    """(doc_id, string): hashes of 50-byte strings that a part of an earlier document holds too.
+
+    Of documents with an equal part only the first one's is sorted; the others' strings all are in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle: list[tuple[int, bytes]] = []
-        group: dict[tuple[int, bytes], None] = {}
+        bundle: list[tuple[int, bytes]] = []  # to sort
+        equal: list[tuple[int, bytes]] = []  # equal to an earlier document's
+        group: dict[bytes, list[int]] = {}
         size, key = 0, None
 
         def close() -> None:
             """Add the open group to the bundle, unless all of it is one document's."""
             nonlocal size
-            if len({d for d, _ in group}) > 1:
-                bundle.extend(group)
-                size += sum(len(p) + 1 for _, p in group)
+            if len(group) > 1 and len({d for docs in group.values() for d in docs}) > 1:
+                bundle.extend((docs[0], p) for p, docs in group.items())
+                size += sum(len(p) + 1 for p in group)
+            for p, docs in group.items():
+                if len(docs) > 1 and len(p) >= WINDOW:
+                    equal.extend((d, p) for d in docs[1:])
             group.clear()
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            joined, at, doc = repeated([p for _, p in bundle], [d for d, _ in bundle])
-            sums = windows.prefix(windows.byte_units(joined))
-            found = np.unique(np.stack([doc, windows.hashes(sums, at, at + WINDOW).view(np.int64)]), axis=1)
+            found = []
+            if bundle:
+                joined, at, doc = repeated([p for _, p in bundle], [d for d, _ in bundle])
+                found.append(np.stack([doc, windows.hashes(windows.prefix(windows.byte_units(joined)), at, at + WINDOW).view(np.int64)]))
+            if equal:
+                sizes = np.array([len(p) for _, p in equal])
+                joined, begin = np.frombuffer(b"".join(p for _, p in equal), np.uint8), np.cumsum(sizes) - sizes
+                n = sizes - WINDOW + 1
+                at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append(np.stack([np.repeat([d for d, _ in equal], n), windows.hashes(windows.prefix(windows.byte_units(joined)), at, at + WINDOW).view(np.int64)]))
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
             bundle.clear()
+            equal.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["doc_id", "string"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["doc_id", "string"])
 
         for batch in batches:
             for k, d, p in zip(*columns(batch, "key", "doc_id", "part"), strict=True):
                 if k != key:
                     close()
                     key = k
-                    if size >= BUNDLE:
+                    if size >= BUNDLE or len(equal) >= 4096:
                         yield flush()
-                group[d, p] = None
+                docs = group.setdefault(p, [])
+                if not docs or docs[-1] != d:
+                    docs.append(d)
         close()
-        if bundle:
+        if bundle or equal:
             yield flush()
 
     return parts.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "doc_id long, string long").distinct()
