@@ -37,7 +37,11 @@ def _windows(data: np.ndarray, offsets: np.ndarray, window: int, seed: int) -> t
 
 
 def seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(anchor, context, doc_id), each once for a row of documents."""
+    """(anchor, context, doc_id, told), each once for a document.
+
+    Of documents of a batch that share a context only the first competes with those of other
+    batches; the others hold what an earlier one has, whatever those do. They are ``told`` and dealt
+    out by a key of their own, so copies are added up before the shuffle."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -46,18 +50,22 @@ def seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 w, _, _ = _windows(data, offsets, window, seed)
                 at, anchor = w.anchors()
                 rows = np.stack([anchor, w.contexts(at)[2], ids[row:end][w.doc[at]].astype(np.int64).view(np.uint64)])
-                found.append(np.unique(rows, axis=1) if repeats(anchor) else rows)
-            out = np.concatenate(found, axis=1).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["anchor", "context", "doc_id"])
+                found.append(rows)
+            anchor, context, doc = np.concatenate(found, axis=1)
+            doc = doc.view(np.int64)
+            order = np.lexsort((doc, context, anchor))
+            anchor, context, doc = anchor[order], context[order], doc[order]
+            fresh = np.append(True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1]))[: len(doc)]
+            once = fresh | np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+            first = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(doc) else doc
+            told = doc > first
+            anchor = np.where(told, windows.mix(context ^ doc.view(np.uint64)), anchor)
+            columns = [anchor.view(np.int64), context.view(np.int64), doc, told]
+            return pa.RecordBatch.from_arrays([pa.array(x[once]) for x in columns], names=["anchor", "context", "doc_id", "told"])
 
         return each
 
-    return over_rows(docs, make, "anchor long, context long, doc_id long")
-
-
-def repeats(values: np.ndarray) -> bool:
-    ordered = np.sort(values)
-    return bool((ordered[1:] == ordered[:-1]).any())
+    return over_rows(docs, make, "anchor long, context long, doc_id long, told boolean")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -65,13 +73,14 @@ def met(rows: DataFrame) -> DataFrame:
     a class's first documents where the anchor has other contexts too (false)."""
 
     def each(columns: list[np.ndarray], new: np.ndarray, state: dict) -> pa.RecordBatch:
-        anchor, context, doc = columns
+        anchor, context, doc, known = columns
         # carried from the batch before: the class that is open, its first document, whether its
         # anchor has several classes, and the first rows of the anchor's first class if not
         if not new[0]:
             anchor = np.concatenate((np.full(len(state["context"]), anchor[0]), anchor))
             context, doc = np.concatenate((state["context"], context)), np.concatenate((state["doc"], doc))
             several, told = state["several"], len(state["context"])
+            known = np.concatenate((np.zeros(told, bool), known))
             new = np.concatenate(([True], np.zeros(told - 1, bool), [False], new[1:]))
         else:
             several, told = False, 0
@@ -85,7 +94,8 @@ def met(rows: DataFrame) -> DataFrame:
         earlier, rep = doc > first, (doc == first) & many[group]
         # rows told before: those of the open class; first rows that were told as such stay told
         old = np.arange(len(doc)) < told
-        earlier &= ~old
+        earlier = (earlier | known) & ~old
+        rep &= ~known
         if several:
             rep &= ~old
         # the next batch may go on with the last anchor: keep its last class's first rows, and
