@@ -36,8 +36,9 @@ from runweave.llm.substring import ranges_in
 WINDOW, SEED = 50, 20
 REACH = WINDOW - SEED
 HALF = REACH // 2
-#: Seeds in a packed run, bytes of contexts that are sorted together.
-RUN_SEEDS, BUNDLE = 1 << 20, 1 << 15
+#: Seeds in a packed run, bytes of contexts that are sorted together (few, so that the arrays stay in
+#: the cache), strings found before they are handed on.
+RUN_SEEDS, BUNDLE, FOUND = 1 << 20, 1 << 11, 1 << 16
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -149,7 +150,9 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> windows.Windows:
 
 
 def packed_seeds(texts: DataFrame) -> DataFrame:
-    """(shard, seeds): anchors, contexts and doc_ids of a run of documents, as packed arrays."""
+    """(shard, seeds): anchors, contexts and doc_ids of a run of documents, as packed arrays. There
+    are four shards for each shuffle partition, so a shard does not grow with the input if those do."""
+    shards = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -157,14 +160,14 @@ def packed_seeds(texts: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(held, axis=1)
-            shard = (rows[0] >> np.uint64(56)).astype(np.int64)
+            shard = (rows[0] >> np.uint64(40)).astype(np.int64) % shards
             rows = rows[:, np.argsort(shard, kind="stable")]
-            ends = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=256))))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
             blobs = []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 anchor, context, doc = rows[:, a:b]
-                blobs.append(b"".join([(anchor >> np.uint64(24)).astype("<u4").tobytes(), context.astype("<u4").tobytes(), (context >> np.uint64(32)).astype("<u2").tobytes(), doc.tobytes()]))
-            return pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "seeds"])
+                blobs.append(b"".join([anchor.astype("<u4").tobytes(), context.astype("<u4").tobytes(), (context >> np.uint64(32)).astype("<u2").tobytes(), doc.tobytes()]))
+            return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "seeds"])
 
         for batch in batches:
             ids = numbers(batch, "doc_id").astype(np.int64)
@@ -277,9 +280,11 @@ def shared_strings(parts: DataFrame) -> DataFrame:
                     equal.extend((d, p) for d in docs[1:])
             group.clear()
 
-        def flush() -> pa.RecordBatch:
+        found: list[np.ndarray] = []
+
+        def sort() -> None:
+            """Sort the bundle and add its strings, and those of the equal parts, to the found ones."""
             nonlocal size
-            found = []
             if bundle:
                 joined, at, doc = repeated([p for _, p in bundle], [d for d, _ in bundle])
                 found.append(np.stack([doc, windows.hashes(windows.prefix(windows.byte_units(joined)), at, at + WINDOW).view(np.int64)]))
@@ -289,10 +294,13 @@ def shared_strings(parts: DataFrame) -> DataFrame:
                 n = sizes - WINDOW + 1
                 at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 found.append(np.stack([np.repeat([d for d, _ in equal], n), windows.hashes(windows.prefix(windows.byte_units(joined)), at, at + WINDOW).view(np.int64)]))
-            out = np.unique(np.concatenate(found, axis=1), axis=1)
             bundle.clear()
             equal.clear()
             size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
+            found.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["doc_id", "string"])
 
         for batch in batches:
@@ -301,12 +309,15 @@ def shared_strings(parts: DataFrame) -> DataFrame:
                     close()
                     key = k
                     if size >= BUNDLE or len(equal) >= 4096:
-                        yield flush()
+                        sort()
+                        if sum(x.shape[1] for x in found[-64:]) >= FOUND or len(found) >= 64:
+                            yield flush()
                 docs = group.setdefault(p, [])
                 if not docs or docs[-1] != d:
                     docs.append(d)
         close()
-        if bundle or equal:
+        sort()
+        if found:
             yield flush()
 
     return parts.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "doc_id long, string long").distinct()
