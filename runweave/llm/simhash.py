@@ -35,6 +35,8 @@ from runweave.llm.components import components
 SEED = 42
 #: Members of an anchor that are compared at once.
 TILE = 2048
+#: Documents of the sample for frequent shingles, and those at most; rows of a task's prefixes and pairs of them at once.
+SAMPLE, FREQUENT, ROWS, AT_ONCE = 5_000, 200_000, 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,8 @@ class Plan:
         return -(-self.bits // 64)
 
 
-#: For similarity 0.8 on five-word shingles: 13 blocks of a 23-bit Golay code, one bit of slack each.
+#: Proposes links of five-word shingles: 13 blocks of a 23-bit Golay code, one bit of slack each. It does
+#: not find every pair of similarity 0.8; ``similar`` confirms what it proposes and finds the others.
 NEAR = Plan(shingle=5, bits=299, block=23, distance=48)
 
 
@@ -311,9 +314,183 @@ def components_of(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
-    """The documents that stay, in their columns: of each component the row with the smallest
-    doc_id (null after all others; of rows that share it, the least text hash; of equal rows one)."""
+    """The documents that stay, in their columns: of each component of texts whose sets of shingles
+    have a Jaccard similarity of 0.8 and more the row with the smallest doc_id (null after all
+    others; of rows that share it, the least text hash; of equal rows one)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    kept = grouped(docs, plan).groupBy("root").agg(first.alias("kept")).select("kept.doc_id", "kept.text_hash")
+    kept = similar(docs, plan).groupBy("root").agg(first.alias("kept")).select("kept.doc_id", "kept.text_hash")
     once = docs.withColumn("_runweave_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     return matching(once, kept, "left_semi").dropDuplicates(["doc_id", "_runweave_text"]).drop("_runweave_text")
+
+
+def similar(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
+    """doc_id, text_hash, node (of its set of shingles) and ``root``, the least node of its component.
+
+    Near fingerprints come first: what they link and the sets confirm joins crowds of copies without
+    listing their pairs. Fingerprints that lie apart, or never meet at an anchor, can still belong to
+    similar sets, so prefixes of the sets find every pair that is left between two components."""
+    prints = written(shingled(docs, plan), "shingled")
+    nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"))
+    one = written(nodes.groupBy("fp").agg(F.min("node").alias("one")), "prints")
+    met = links(replicated(one.select("fp"), plan), plan)
+    met = met.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select("x", "y")
+    same = nodes.join(one, "fp").where("node <> one").select("one", "node")
+    close = written(confirmed(met.union(same).toDF("a", "b"), prints, docs, plan), "close")
+    more = confirmed(sharing(docs, components(close), plan), prints, docs, plan)
+    roots = components(close.union(more)).select("node", "root")
+    return prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def shingled(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, text_hash, node and ``fp`` (binary) of every document."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            (texts,) = columns(batch, "text")
+            nodes = pa.array([node_of(shingle_set(t, plan.shingle)) for t in texts], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array([fingerprint(t, plan) for t in texts], pa.binary())], names=["doc_id", "text_hash", "node", "fp"])
+
+        return each
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_bytes())
+    return over_rows(rows, make, "doc_id long, text_hash long, node long, fp binary")
+
+
+def confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Of pairs of nodes (a, b) those whose sets have a similarity of 0.8 and more, by the text of
+    one document of each node."""
+    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    who = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("node", F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_bytes())
+    rows = rows.join(who, rows["doc_id"].eqNullSafe(who["id"]) & (rows["text_hash"] == who["hash"]))
+    texts = written(rows.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            take, held = [], (None, None)
+            for a, x, y in zip(*columns(batch, "a", "x", "y"), strict=True):
+                if held[0] != a:
+                    held = a, shingle_set(x, plan.shingle)
+                other = shingle_set(y, plan.shingle)
+                both = len(np.intersect1d(held[1], other, assume_unique=True))
+                take.append(5 * both >= 4 * (len(held[1]) + len(other) - both))
+            return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(take)) for i in (0, 1)], names=["a", "b"])
+
+        return each
+
+    both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return over_rows(both, make, "a long, b long")
+
+
+def prefix_length(size: np.ndarray) -> np.ndarray:
+    """Two sets with a similarity of 0.8 and more share one of so many first members in any order."""
+    return size - (4 * size + 4) // 5 + 1
+
+
+def frequent(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are in very many documents, by a sample, sorted, and their counts there. They
+    only decide the order of members, and any order finds all pairs; rare ones first find few others."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, plan.shingle) for t in columns(batch, "text")[0]]
+            unit, n = np.unique(np.concatenate(sets), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(n)], names=["unit", "n"])
+
+        return each
+
+    apart = max(1, docs.count() // SAMPLE)
+    rows = docs.where(F.pmod(text_hash(), F.lit(apart)) == 0).select(text_bytes())
+    counts = over_rows(rows, make, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    top = counts.where("n >= 3").orderBy(F.desc("n"), "unit").limit(FREQUENT).toPandas()
+    unit, n = top["unit"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(unit)
+    return unit[order], n[order]
+
+
+def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of nodes (a, b) of different ``roots`` (node, root), among them all that are similar."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, plan))
+
+    def make_prefixes():
+        unit, n = shared.value
+        seen = set()
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text in columns(batch, "text")[0]:
+                members = shingle_set(text, plan.shingle)
+                node = node_of(members)
+                if node in seen or not len(members):
+                    continue
+                seen.add(node)
+                if len(unit):
+                    at = np.minimum(np.searchsorted(unit, members), len(unit) - 1)
+                    members = members[np.argsort(np.where(unit[at] == members, n[at], 0), kind="stable")]
+                out.append((node, len(members), members[: int(prefix_length(np.int64(len(members))))].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["node", "size", "prefix"])
+
+        return each
+
+    prefixes = over_rows(docs.select(text_bytes()), make_prefixes, "node long, size long, prefix binary").dropDuplicates(["node"])
+    prefixes = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
+
+    def flat(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, root, size = (batch.column(i).to_numpy() for i in range(3))
+        keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+        row = np.repeat(np.arange(len(node)), prefix_length(size))
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(v[row]) for v in (root, node, size))], names=["key", "root", "node", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, root, node, size = rows
+            place = np.arange(len(key))
+            group = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            crowd = np.append(np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, len(key))
+            end, begin = group[np.searchsorted(group, place, "right")], crowd[np.searchsorted(crowd, place, "right")]
+            total = np.cumsum(end - begin)
+            at = 0
+            while at < len(key):  # some rows at a time: what is listed at once is bounded
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+                many = (end - begin)[at:to]
+                i = np.repeat(place[at:to], many)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + begin[i]
+                take = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+                i, j = i[take], j[take]
+                if len(i):
+                    low = node[i] < node[j]
+                    i, j = np.where(low, i, j), np.where(low, j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], size[i], size[j])], names=["a", "b", "size_a", "size_b"])
+                at = to
+
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            rows += batch.num_rows
+            if rows >= ROWS and held[0][0, 0] != held[-1][0, -1]:
+                every = np.concatenate(held, axis=1)
+                cut = int(np.flatnonzero(every[0] != every[0, -1])[-1]) + 1  # the last key may go on
+                yield from pairs(every[:, :cut])
+                held, rows = [every[:, cut:]], every.shape[1] - cut
+        if held:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    rows = over_rows(prefixes, lambda: flat, "key long, root long, node long, size long")
+    found = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "a long, b long, size_a long, size_b long")
+    found = found.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("common"))
+    # of the set whose prefix ends first all common members of the prefix are counted, and others are not in the other set
+    shorter, longer = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    least = F.expr("(4 * (size_a + size_b) + 8) div 9")
+    first = shorter - F.floor((4 * shorter + 4) / 5) + 1
+    return found.where(first - F.col("common") <= longer - least).select("a", "b")

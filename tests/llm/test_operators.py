@@ -304,6 +304,36 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in kept) == list(range(20))
 
 
+def test_near_copies_are_those_of_brute_force_jaccard(spark):
+    rng = random.Random(12)
+    line = [f"line{k}" for k in range(40)]
+    rows = []
+    for k in range(120):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(60, 260))] + line
+        rows.append((len(rows), " ".join(base)))
+        for changes in (rng.randrange(1, 4), rng.randrange(3, 9)):  # on both sides of 0.8
+            near = list(base)
+            for at in rng.sample(range(len(near)), changes):
+                near[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, "a b", "A  b", "a " * 50, "a " * 80])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    between = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            between += 0.8 * every <= both <= 0.9 * every
+            if 5 * both >= 4 * every and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert between > 40
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(least.values())
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 
