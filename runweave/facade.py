@@ -27,11 +27,11 @@ class Runs:
     def append(self, events: DataFrame) -> None:
         """Append (run_id, event_type, payload, occurred_at, order): seqs follow each run's last one."""
         new = event_log.numbered(events, self.log(), ["order"])
-        if event_log.conflicts(new, self.log()).limit(1).count():
+        if event_log.conflicts(new, self.log()).limit(1).count():  # reads the log again, so sees what came since
             raise ValueError("another writer has appended to a run of this batch")
         null = F.lit(None).cast("string")
         rows = new.select(
-            ids.month_of(F.col("occurred_at")).alias("partition_key"), "run_id", F.col("seq").cast("long").alias("seq"),
+            ids.month_of_run(F.col("run_id"), F.col("occurred_at")).alias("partition_key"), "run_id", F.col("seq").cast("long").alias("seq"),
             ids.uuid7(F.unix_millis("occurred_at"), F.concat_ws(":", "run_id", "seq")).alias("event_id"), F.lit(self.tenant).alias("tenant_id"),
             "event_type", F.lit(1).alias("payload_version"), "payload", "occurred_at", F.current_timestamp().alias("recorded_at"), null.alias("causation_id"), null.alias("correlation_id"),
         )
@@ -48,7 +48,7 @@ class Runs:
 
     def get_run(self, run_id: str) -> DataFrame:
         """Its state; no row if the tenant has no such run."""
-        return runs.folded(self.log().where(F.col("run_id") == run_id))
+        return runs.folded(event_log.of_run(self.log(), run_id))
 
     def cancel_runs(self, run_ids: DataFrame) -> None:
         """Append a cancellation to each (run_id, occurred_at) that is pending or running; others are left."""
@@ -56,10 +56,10 @@ class Runs:
         self.append(run_ids.join(open_, "run_id", "left_semi").withColumns({"event_type": F.lit("run.cancelled"), "payload": F.lit('{"reason": "cancelled"}'), "order": F.lit(0)}))
 
     def replay(self, run_id: str, from_seq: int = 0, to_seq: int | None = None) -> DataFrame:
-        return event_log.replay(self.log().where(F.col("run_id") == run_id), from_seq, to_seq).orderBy("seq")
+        return event_log.replay(event_log.of_run(self.log(), run_id), from_seq, to_seq).orderBy("seq")
 
     def subscribe(self, run_id: str, after_seq: int = 0) -> DataFrame:
-        return event_log.until_terminal(self.log().where(F.col("run_id") == run_id), after_seq).orderBy("seq")
+        return event_log.until_terminal(event_log.of_run(self.log(), run_id), after_seq).orderBy("seq")
 
 
 class Ledger:

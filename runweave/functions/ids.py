@@ -29,6 +29,12 @@ def month_of(moment: Column) -> Column:
     return F.trunc(moment.cast("date"), "month")
 
 
+def month_of_run(run_id: Column, moment: Column) -> Column:
+    """The partition of all of a run's events: the month (UTC) of its version-7 id, else of ``moment``."""
+    made = F.timestamp_millis(uuid7_millis(run_id))
+    return F.coalesce(F.trunc(F.to_utc_timestamp(made, F.current_timezone()).cast("date"), "month"), month_of(moment))
+
+
 def idempotency_key(run: Column, node: Column, attempt: Column, call: Column) -> Column:
     return F.concat_ws(":", run, node, attempt, call)
 

@@ -1,7 +1,9 @@
 """Task graphs from event logs: nodes, edges, readiness, outcomes, order and failures.
 
-Every fold groups by (run, node); walks over a graph fold one run's nodes in insertion order
-inside an array, because a dependency must have been added before the node that names it.
+A log has run_id, seq, event_type; node events name a node_id, ``node.added`` lists its dependencies,
+``edge.added`` has from_node, to_node and edge_type. Every fold groups by (run, node); walks go round
+by round over the edges of all runs at once, each round a join, so no run's graph has to stand in
+one task: levels take as many rounds as the longest path, reachability their logarithm.
 """
 
 from __future__ import annotations
@@ -9,8 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runweave.sources.staging import staged
+
+#: Error classes that may be tried again, and those whose effect is not known.
 RETRYABLE = ("ConcurrencyError", "LeaseHeldError", "ProviderUnavailableError", "ToolUnavailableError", "ToolTimeoutError")
 INDETERMINATE = ("ToolIndeterminateError",)
+STATUS = {"node.added": "pending", "node.started": "running", "node.succeeded": "succeeded", "node.failed": "failed", "node.skipped": "skipped"}
+DEPENDENCY = "dependency"
 
 
 def _last(value: Column, when: Column) -> Column:
@@ -19,28 +26,37 @@ def _last(value: Column, when: Column) -> Column:
 
 
 def nodes(log: DataFrame) -> DataFrame:
-    """run_id, node_id, added_seq, status (of the last node event), attempt, failed_attempt: the last
-    failure's attempt, which a later start does not clear."""
+    """run_id, node_id, added_seq, status (of the last node event), attempt, failed_attempt, and where the
+    log has them: role and reflection_depth of the addition, output of the last success, error_class and
+    error_message of the last failure. A later start clears none of them."""
     of = lambda *types: F.col("event_type").isin(*[f"node.{t}" for t in types])
-    status = F.element_at(
-        F.create_map(*[F.lit(x) for kv in (("node.added", "pending"), ("node.started", "running"), ("node.succeeded", "succeeded"), ("node.failed", "failed"), ("node.skipped", "skipped")) for x in kv]),
-        F.max_by("event_type", "seq"),
-    )
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.max_by("event_type", "seq"))
+    carried = {
+        "role": ("role", "added"), "reflection_depth": ("reflection_depth", "added"), "output": ("output", "succeeded"),
+        "error_class": ("error_class", "failed"), "error_message": ("message", "failed"),
+    }
     return (
-        log.where("node_id is not null")
+        log.where(F.col("event_type").isin(*STATUS) & F.col("node_id").isNotNull())
         .groupBy("run_id", "node_id")
         .agg(
             F.min(F.when(of("added"), F.col("seq"))).alias("added_seq"),
             status.alias("status"),
             F.coalesce(_last(F.col("attempt"), of("started", "failed")), F.lit(0)).alias("attempt"),
             _last(F.col("attempt"), of("failed")).alias("failed_attempt"),
+            *[_last(F.col(c), of(t)).alias(name) for name, (c, t) in carried.items() if c in log.columns],
         )
     )
 
 
 def edges(log: DataFrame) -> DataFrame:
-    """run_id, from_node, to_node, seq: declared dependencies."""
-    return log.where("event_type = 'node.added' and dep_id is not null").select("run_id", F.col("dep_id").alias("from_node"), F.col("node_id").alias("to_node"), "seq")
+    """run_id, from_node, to_node, edge_type, seq: declared dependencies and edges added later."""
+    declared = log.where("event_type = 'node.added'").select("run_id", F.explode("dependencies").alias("from_node"), F.col("node_id").alias("to_node"), F.lit(DEPENDENCY).alias("edge_type"), "seq")
+    return declared.union(log.where("event_type = 'edge.added'").select("run_id", "from_node", "to_node", "edge_type", "seq"))
+
+
+def dependencies(edges: DataFrame) -> DataFrame:
+    """run_id, from_node, to_node of the edges that make a node wait, each once."""
+    return edges.where(F.col("edge_type") == DEPENDENCY).select("run_id", "from_node", "to_node").distinct()
 
 
 def duplicates(log: DataFrame) -> DataFrame:
@@ -48,16 +64,18 @@ def duplicates(log: DataFrame) -> DataFrame:
 
 
 def unknown(log: DataFrame) -> DataFrame:
-    """Node events, and dependencies, on a node that was not added earlier in the run."""
+    """Node events, dependencies and ends of edges on a node that was not added earlier in the run."""
     first = log.where("event_type = 'node.added'").groupBy("run_id", "node_id").agg(F.min("seq").alias("added_seq"))
-    named = log.where("node_id is not null and event_type <> 'node.added'").select("run_id", "node_id", "seq")
+    named = log.where(F.col("event_type").isin(*STATUS) & (F.col("event_type") != "node.added")).select("run_id", "node_id", "seq")
     named = named.union(edges(log).select("run_id", F.col("from_node").alias("node_id"), "seq"))
-    return named.join(first, ["run_id", "node_id"], "left").where("added_seq is null or added_seq >= seq").select("run_id", "node_id", "seq")
+    named = named.union(log.where("event_type = 'edge.added'").select("run_id", F.col("to_node").alias("node_id"), "seq"))
+    return named.join(first, ["run_id", "node_id"], "left").where("added_seq is null or added_seq >= seq").select("run_id", "node_id", "seq").distinct()
 
 
 def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pending nodes all of whose dependencies succeeded; a skipped one blocks."""
-    blocked = edges.join(nodes.where("status <> 'succeeded'").select("run_id", F.col("node_id").alias("from_node")), ["run_id", "from_node"], "left_semi")
+    """Pending nodes all of whose dependencies, declared or added, succeeded; a skipped one blocks."""
+    waits = dependencies(edges)
+    blocked = waits.join(nodes.where("status <> 'succeeded'").select("run_id", F.col("node_id").alias("from_node")), ["run_id", "from_node"], "left_semi")
     return nodes.where("status = 'pending'").join(blocked.select("run_id", F.col("to_node").alias("node_id")), ["run_id", "node_id"], "left_anti").select("run_id", "node_id")
 
 
@@ -82,47 +100,68 @@ def deadlocks(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """run_id, node_id, dependency and whether it has an output."""
-    dep = nodes.select("run_id", F.col("node_id").alias("from_node"), (F.col("status") == "succeeded").alias("has_output"))
-    return edges.join(dep, ["run_id", "from_node"]).select("run_id", F.col("to_node").alias("node_id"), F.col("from_node").alias("dependency"), "has_output")
-
-
-def walked(log: DataFrame) -> DataFrame:
-    """run_id and ``all``: per node of the run, in insertion order, its level (longest path from a
-    root) and its ancestors."""
-    added = log.where("event_type = 'node.added'").groupBy("run_id", "node_id").agg(F.min("seq").alias("seq"), F.array_compact(F.collect_set("dep_id")).alias("deps"))
-    in_order = added.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id", "deps"))).alias("in_order"))
-    start = F.array().cast("array<struct<node_id: bigint, level: int, above: array<bigint>>>")
-
-    def step(done: Column, node: Column) -> Column:
-        mine = F.filter(done, lambda d: F.array_contains(node["deps"].cast("array<bigint>"), d["node_id"]))
-        level = F.coalesce(F.array_max(F.transform(mine, lambda d: d["level"])) + 1, F.lit(0))
-        above = F.array_distinct(F.concat(F.flatten(F.transform(mine, lambda d: d["above"])), F.transform(mine, lambda d: d["node_id"])))
-        return F.concat(done, F.array(F.struct(node["node_id"].cast("bigint").alias("node_id"), level.cast("int").alias("level"), above.cast("array<bigint>").alias("above"))))
-
-    return in_order.select("run_id", F.aggregate("in_order", start, step).alias("all"))
+    """run_id, node_id, dependency and its output; an empty object if it has none."""
+    dep = nodes.select("run_id", F.col("node_id").alias("from_node"), F.coalesce("output", F.lit("{}")).alias("output"))
+    return dependencies(edges).join(dep, ["run_id", "from_node"]).select("run_id", F.col("to_node").alias("node_id"), F.col("from_node").alias("dependency"), "output")
 
 
 def levels(log: DataFrame) -> DataFrame:
-    return walked(log).select("run_id", F.explode("all").alias("n")).select("run_id", "n.node_id", "n.level")
+    """run_id, node_id, level: the longest path from a node without dependencies.
+
+    A round takes all nodes that some path of its length reaches; the last round that does is the
+    level. A cycle would never end, so more rounds than a run has nodes are an error."""
+    added = log.where("event_type = 'node.added'").select("run_id", "node_id").distinct()
+    waits = staged(dependencies(edges(log)))
+    here = staged(added.join(waits.select("run_id", F.col("to_node").alias("node_id")), ["run_id", "node_id"], "left_anti"))
+    most = added.groupBy("run_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    found, k = here.withColumn("level", F.lit(0)), 0
+    while True:
+        here = staged(here.join(waits, (here["run_id"] == waits["run_id"]) & (here["node_id"] == waits["from_node"])).select(waits["run_id"], waits["to_node"].alias("node_id")).distinct())
+        if here.isEmpty():
+            return found.groupBy("run_id", "node_id").agg(F.max("level").alias("level"))
+        k += 1
+        if k > most:
+            raise ValueError("the dependencies of a run have a cycle")
+        found = found.union(here.withColumn("level", F.lit(k)))
 
 
 def reachable(log: DataFrame) -> DataFrame:
-    """run_id, from_node, to_node: to_node can be reached from from_node along dependencies."""
-    flat = walked(log).select("run_id", F.explode("all").alias("n"))
-    return flat.select("run_id", F.explode("n.above").alias("from_node"), F.col("n.node_id").alias("to_node"))
-
-
-def cyclic(log: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Of edges (run_id, from_node, to_node) to add after the log, those that would close a cycle."""
-    ways = reachable(log).select("run_id", F.col("from_node").alias("to_node"), F.col("to_node").alias("from_node"))
-    loop = new_edges.where("from_node = to_node")
-    return new_edges.where("from_node <> to_node").join(ways, ["run_id", "from_node", "to_node"], "left_semi").select("run_id", "from_node", "to_node").union(loop.select("run_id", "from_node", "to_node"))
+    """run_id, from_node, to_node: to_node can be reached from from_node along dependencies. Each
+    round joins the ways known so far, so their length doubles."""
+    ways = staged(dependencies(edges(log)))
+    n = ways.count()
+    while True:
+        on = ways.select(F.col("run_id").alias("r"), F.col("from_node").alias("via"), F.col("to_node").alias("end"))
+        longer = ways.join(on, (F.col("run_id") == F.col("r")) & (F.col("to_node") == F.col("via"))).select("run_id", "from_node", F.col("end").alias("to_node"))
+        ways = staged(ways.union(longer).distinct())
+        before, n = n, ways.count()
+        if n == before:
+            return ways
+
+
+def cyclic(log: DataFrame) -> DataFrame:
+    """Of each run the first edge added later (run_id, seq, from_node, to_node) that closes a cycle of
+    dependencies, taking the edges before it; an edge to its own node is one. Edges of other types
+    close none."""
+    every = edges(log).where(F.col("edge_type") == DEPENDENCY)
+    waits = staged(every.select("run_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("seq").alias("made")).distinct())
+    asked = log.where((F.col("event_type") == "edge.added") & (F.col("edge_type") == DEPENDENCY))
+    here = staged(asked.select("run_id", "seq", "from_node", "to_node", F.col("to_node").alias("node")))
+    seen, closed = here, here.where("node = from_node")
+    while True:
+        step = here.where("node <> from_node").join(waits, ["run_id", "node"]).where("made < seq").select("run_id", "seq", "from_node", "to_node", F.col("next").alias("node")).distinct()
+        here = staged(step.join(seen, ["run_id", "seq", "from_node", "to_node", "node"], "left_anti"))
+        if here.isEmpty():
+            break
+        seen, closed = seen.union(here), closed.union(here.where("node = from_node"))
+    first = F.min(F.struct("seq", "from_node", "to_node")).alias("e")
+    return closed.groupBy("run_id").agg(first).select("run_id", "e.seq", "e.from_node", "e.to_node")
 
 
 def failure_cause(nodes: DataFrame) -> DataFrame:
-    """The failed node that was added first, of each run with one."""
-    return nodes.where("status = 'failed'").groupBy("run_id").agg(F.min_by("node_id", "added_seq").alias("node_id"), F.min_by("failed_attempt", "added_seq").alias("attempt"))
+    """The failed node that was added first, of each run with one, and its error."""
+    first = F.min(F.struct("added_seq", "node_id", F.col("failed_attempt").alias("attempt"), "error_class", "error_message")).alias("f")
+    return nodes.where("status = 'failed'").groupBy("run_id").agg(first).select("run_id", "f.node_id", "f.attempt", "f.error_class", "f.error_message")
 
 
 def category(error_class: Column) -> Column:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def resolved(log: DataFrame) -> DataFrame:
-    """Per key: which events it has and the last completion's result."""
+    """Per key: the tool that its last request names (null without one), which events it has and the
+    last completion's result."""
     has = lambda t: F.bool_or(F.col("event_type") == f"tool.{t}").alias(t)
-    done = F.col("event_type") == "tool.completed"
-    return log.groupBy("idempotency_key", "tool").agg(has("requested"), has("completed"), has("failed"), has("indeterminate"), F.max_by(F.when(done, F.col("result")), F.when(done, F.col("seq"))).alias("result"))
+    at = lambda t, c: F.max_by(F.when(F.col("event_type") == f"tool.{t}", F.col(c)), F.when(F.col("event_type") == f"tool.{t}", F.col("seq")))
+    return log.groupBy("idempotency_key").agg(at("requested", "tool").alias("tool"), has("requested"), has("completed"), has("failed"), has("indeterminate"), at("completed", "result").alias("result"))
 
 
 def outcomes(keys: DataFrame, specs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runweave.functions import egress, ids
 from runweave.operators import agents, cost, dag, registry, runs, snapshots, tools
 from runweave.plans import readonly
-from runweave.sources import event_log
+from runweave.sources import event_log, staging
 from runweave.sources import fixtures as fx
 from runweave.sqls import READONLY
 from runweave.streaming import live
@@ -37,6 +37,18 @@ def event_replay(spark, d):
     return _long(event_log.replay(fx.run_events(spark, d), 1, 6).select("run_id", "seq", "event_type"), "run_id", "seq")
 
 
+@query
+def event_append_and_read(spark, d):
+    """Events written as a table of months and read back, of the runs of one month."""
+    log = fx.run_events(spark, d)
+    millis = F.unix_millis(F.col("t0").cast("timestamp"))
+    rows = log.select(ids.month_of_run(ids.uuid7(millis, F.col("run_id")), F.col("t0")).alias("partition_key"), "run_id", F.col("seq").cast("long").alias("seq"), "event_type")
+    path = staging.shared_dir(spark)
+    event_log.append(rows, path)
+    back = spark.read.schema(rows.schema).parquet(path).where("partition_key = date'1995-03-01'")
+    return back.groupBy("run_id").agg(F.count("*").alias("events"), F.max("seq").alias("last_seq"))
+
+
 @query
 def batch_seq_assignment(spark, d):
     log = fx.run_events(spark, d)
@@ -52,10 +64,14 @@ def event_conflicts(spark, d):
 
 
 def _payloads(spark, d):
+    """Payloads of both versions, some of them broken in one of the ways that a registry tells apart."""
     e = fx.table(spark, d, "events")
-    body = F.when(F.col("event_id") % 50 == 0, F.concat(F.substring_index("props", "}", 1), F.lit(', "extra": 1}'))).otherwise(F.col("props"))
     version = F.when(F.col("event_id") % 51 == 0, 3).otherwise(1 + F.col("event_id") % 2).cast("int")
-    body = F.when(version == 2, F.concat(F.substring_index(body, "}", 1), F.lit(', "count": 5}'))).otherwise(body)
+    k = F.get_json_object("props", "$.k")
+    count = F.when(version == 2, F.lit(', "count": 5')).otherwise(F.lit(""))
+    extra = F.when(F.col("event_id") % 50 == 0, F.lit(', "extra": {"x": 1}')).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"k": '), k, count, extra, F.lit("}"))
+    body = F.when(F.col("event_id") % 53 == 0, F.lit("{}")).when(F.col("event_id") % 59 == 0, F.concat(F.lit('{"k": {"x": "}"}'), count, F.lit("}"))).when(F.col("event_id") % 61 == 0, F.lit("not json")).when(F.col("event_id") % 67 == 0, F.lit(None)).otherwise(body)
     return e.select("event_id", "event_type", body.alias("payload"), version.alias("payload_version"))
 
 
@@ -116,8 +132,7 @@ def stream_tail(spark, d):
 @query
 def stream_run_state(spark, d):
     path, schema = _stream(spark, d)
-    rows = live.drained(live.states(spark.readStream.schema(schema).parquet(path)), "complete")
-    return rows.select("run_id", "last_seq", "last_lifecycle")
+    return live.merged(live.drained(live.states(spark.readStream.schema(schema).parquet(path)), "update")).select("run_id", "last_seq", "last_lifecycle")
 
 
 @query
@@ -215,9 +230,11 @@ def run_terminal_counts(spark, d):
 
 @query
 def run_invalid_transitions(spark, d):
+    """The first illegal seq of each run, the state it met, and the types that events have there."""
     log = fx.lifecycles(spark, d)
     bad = runs.folded(log).where("illegal_seq is not null").select("run_id", "status", F.col("illegal_seq").alias("seq"))
-    return _long(log.join(bad, ["run_id", "seq"]).select("run_id", "seq", "status", "event_type"), "seq")
+    there = log.join(bad, ["run_id", "seq"]).groupBy("run_id", "seq", "status").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("event_types"))
+    return _long(there, "seq")
 
 
 @query
@@ -235,6 +252,12 @@ def run_status_view(spark, d):
     return _long(runs.folded(fx.run_events(spark, d)).select("run_id", "status", "last_lifecycle_seq"), "last_lifecycle_seq")
 
 
+@query
+def run_states(spark, d):
+    states = runs.folded(fx.run_events(spark, d)).drop("illegal_seq")
+    return _long(states, "last_seq", "last_lifecycle_seq", "created_at", "started_at", "finished_at")
+
+
 @query
 def find_pending(spark, d):
     o = fx.table(spark, d, "orders")
@@ -253,32 +276,28 @@ def lease_acquisition(spark, d):
     e = fx.table(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).cast("timestamp"))
     ttl = F.when(F.col("event_id") % 2 == 0, 300_000_000).otherwise(86_400_000_000)
-    rows = e.select(F.col("user_id").alias("run_id"), at.alias("at"), F.col("event_id").alias("order"), F.col("event_type").alias("worker"), ttl.cast("long").alias("ttl_seconds"))
+    rows = e.select(F.col("user_id").alias("run_id"), at.alias("at"), F.col("event_id").alias("order"), F.col("event_type").alias("worker"), ttl.cast("long").alias("ttl"))
     return runs.leases(rows).select("run_id", "token", "owner", F.col("until").alias("until_micros"))
 
 
 @query
 def stale_lease_appends(spark, d):
-    e = fx.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 100).alias("epoch"))
-    appends = e.select("run_id", "seq", (F.col("epoch") - F.when(F.col("seq") % 17 == 0, 2).otherwise(0)).cast("long").alias("token"))
-    return runs.stale_appends(appends).groupBy("run_id").agg(F.count("*").alias("stale"), F.min("seq").alias("first_stale"))
+    return runs.stale_appends(fx.fenced(spark, d)).groupBy("run_id").agg(F.count("*").alias("stale"), F.min("seq").alias("first_stale"), F.max(F.col("current").cast("long")).alias("last_token"))
 
 
 # --- snapshots -----------------------------------------------------------------------------------
 
 
 def _snapshots(spark, d):
-    log = fx.run_events(spark, d)
-    at = snapshots.due(log, 4).select("run_id", F.col("seq").alias("at_seq"))
-    life = log.where("event_type like 'run.%'").select("run_id", "seq", "event_type")
-    seen = at.join(life, "run_id").where("seq <= at_seq").groupBy("run_id", "at_seq").agg(F.max_by("event_type", "seq").alias("t"))
-    status = F.when(F.col("t") == "run.created", "pending").when(F.col("t") == "run.started", "running").otherwise(F.regexp_replace("t", "run\\.", ""))
-    return seen.select("run_id", "at_seq", status.alias("status"))
+    return snapshots.taken(fx.run_events(spark, d), 4)
 
 
 @query
 def snapshot_due(spark, d):
-    return snapshots.due(fx.run_events(spark, d), 4).groupBy("run_id").agg(F.count("*").alias("n"), F.max("seq").cast("long").alias("last_seq"))
+    """Whether a run that has snapshots of every sixth event at most is due for one after four more."""
+    log = fx.run_events(spark, d)
+    heads = log.groupBy("run_id").agg(F.max("seq").alias("last_seq"))
+    return _long(snapshots.due(heads, snapshots.taken(log, 6), 4), "last_seq", "at_seq")
 
 
 @query
@@ -291,7 +310,7 @@ def snapshot_save(spark, d):
 
 @query
 def snapshot_latest(spark, d):
-    return _long(snapshots.latest(_snapshots(spark, d)), "at_seq")
+    return _long(snapshots.latest(_snapshots(spark, d)), "at_seq", "last_lifecycle_seq")
 
 
 @query
@@ -301,16 +320,17 @@ def snapshot_prune(spark, d):
 
 @query
 def run_state_from_snapshot(spark, d):
-    return runs.resumed(snapshots.latest(_snapshots(spark, d)), fx.run_events(spark, d))
+    return _long(runs.resumed(snapshots.latest(_snapshots(spark, d)), fx.run_events(spark, d)).drop("illegal_seq"), "last_seq")
 
 
 @query
 def snapshot_equivalence(spark, d):
-    """Rows in which the state from a snapshot differs from the full fold: none."""
+    """By status, the runs whose state from a snapshot is that of the full fold, and those where not."""
     log = fx.run_events(spark, d)
-    whole = runs.folded(log).select("run_id", "status")
-    part = runs.resumed(snapshots.latest(_snapshots(spark, d)), log)
-    return whole.exceptAll(part).union(part.exceptAll(whole))
+    whole = runs.folded(log).select("run_id", "status", "last_seq")
+    part = runs.resumed(snapshots.latest(_snapshots(spark, d)), log).select("run_id", F.col("status").alias("other"), F.col("last_seq").alias("other_seq"))
+    same = F.col("status").eqNullSafe(F.col("other")) & (F.col("last_seq") == F.col("other_seq"))
+    return whole.join(part, "run_id", "full").groupBy("status").agg(F.count_if(same).alias("same"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
 
 
 # --- task graphs ---------------------------------------------------------------------------------
@@ -318,7 +338,7 @@ def snapshot_equivalence(spark, d):
 
 @query
 def dag_nodes(spark, d):
-    return _long(dag.nodes(fx.run_events(spark, d)), "added_seq", "attempt", "failed_attempt", "node_id")
+    return _long(dag.nodes(fx.run_events(spark, d)), "added_seq", "attempt", "failed_attempt", "node_id", "reflection_depth")
 
 
 @query
@@ -327,10 +347,14 @@ def dag_edges(spark, d):
 
 
 def _odd_log(spark, d):
-    """A log with nodes that are added twice or named before they are added."""
-    return fx.table(spark, d, "events").select(
-        F.col("user_id").alias("run_id"), (F.col("event_id") % 11).alias("node_id"), F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "signup", "node.added").otherwise("node.started").alias("event_type"), F.lit(None).cast("long").alias("dep_id"),
+    """A log with nodes that are added twice or named before they are added, in events and by edges."""
+    e = fx.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "node.added").when(F.col("event_type") == "error", "edge.added").otherwise("node.started")
+    node, none = F.col("event_id") % 11, F.lit(None).cast("long")
+    return e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("event_type"), F.when(kind != "edge.added", node).alias("node_id"),
+        F.when(kind == "node.added", F.array((F.col("event_id") + 3) % 11)).alias("dependencies"), F.when(kind == "edge.added", node).otherwise(none).alias("from_node"),
+        F.when(kind == "edge.added", (F.col("event_id") + 5) % 11).otherwise(none).alias("to_node"), F.lit("reject").alias("edge_type"),
     )
 
 
@@ -351,9 +375,12 @@ def dag_reachability(spark, d):
 
 @query
 def dag_cycles(spark, d):
+    """Two edges more for every run: from its first node to its last, a dependency in every other run, and back."""
     log = fx.run_events(spark, d)
-    back = log.where("event_type = 'node.added' and run_id % 5 = 0").groupBy("run_id").agg(F.max("node_id").cast("long").alias("from_node")).withColumn("to_node", F.col("run_id") % 3)
-    return dag.cyclic(log, back)
+    ends = log.groupBy("run_id").agg(F.max("seq").alias("last"), F.max("node_id").alias("node")).where("node is not null")
+    first = ends.select("run_id", (F.col("last") + 1).alias("seq"), F.lit("edge.added").alias("event_type"), F.lit(0).alias("from_node"), F.col("node").alias("to_node"), F.when(F.col("run_id") % 2 == 0, "dependency").otherwise("reflection").alias("edge_type"))
+    back = ends.select("run_id", (F.col("last") + 2).alias("seq"), F.lit("edge.added").alias("event_type"), F.col("node").alias("from_node"), F.lit(0).alias("to_node"), F.lit("dependency").alias("edge_type"))
+    return _long(dag.cyclic(log.unionByName(first, True).unionByName(back, True)), "seq", "from_node", "to_node")
 
 
 @query
@@ -397,7 +424,7 @@ def dag_deadlocks(spark, d):
 @query
 def node_inputs(spark, d):
     log = fx.run_events(spark, d)
-    return dag.inputs(dag.nodes(log), dag.edges(log)).groupBy("run_id").agg(F.count("*").alias("inputs"), F.sum(F.col("has_output").cast("long")).alias("with_output"))
+    return _long(dag.inputs(dag.nodes(log), dag.edges(log)), "node_id", "dependency")
 
 
 @query
@@ -413,10 +440,7 @@ def cancelled_skips(spark, d):
 
 
 def _failures(spark, d):
-    kinds = ["ToolTimeoutError", "ToolIndeterminateError", "BudgetExceededError", "ProviderUnavailableError", "ValueError"]
-    failed = fx.run_events(spark, d).where("event_type = 'node.failed'")
-    name = F.element_at(F.array(*map(F.lit, kinds)), (F.col("run_id") % len(kinds) + 1).cast("int"))
-    return failed.select("run_id", "node_id", "attempt", name.alias("error_class"))
+    return fx.run_events(spark, d).where("event_type = 'node.failed'").select("run_id", "node_id", "attempt", "error_class")
 
 
 @query
@@ -493,7 +517,11 @@ def tenant_cost(spark, d):
 
 @query
 def cost_summary_empty(spark, d):
-    return _ledger(spark, d).where("run_id < 0").agg(*cost.summary())
+    """The summary of each tenant's unpriced calls, zero for the most part, beside the number of its runs."""
+    rows = _ledger(spark, d)
+    return rows.groupBy("tenant_id").agg(F.countDistinct("run_id").alias("runs")).join(rows.where("cost_usd > 1000").groupBy("tenant_id").agg(*cost.summary()), "tenant_id", "left").select(
+        "tenant_id", "runs", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("cost_usd", "decimal(20,10)"), ("total_tokens", "long"), ("calls", "long"))]
+    )
 
 
 @query
@@ -508,8 +536,21 @@ def cost_by_model(spark, d):
 
 @query
 def budget_violations(spark, d):
-    over = cost.over_budget(fx.llm_calls_big(spark, d), ["run_id"], ["call_no"], "input_tokens", 10_000)
-    return over.groupBy("run_id").agg(F.count("*").alias("calls"), F.min("call_no").cast("long").alias("first_call"), F.max("total").alias("total"))
+    """Per run and node the first call over 4,000 tokens or 12 dollars, the calls over, and the limit it broke."""
+    calls = fx.llm_calls_big(spark, d).withColumn("cost_usd", (F.col("output_tokens").cast("decimal(12,0)") * F.lit("0.002").cast("decimal(4,3)")).cast("decimal(20,10)"))
+    over = cost.over_budget(calls, ["run_id", "node_id"], ["call_no"], 4_000, "12")
+    first = F.min(F.struct("call_no", "limit", "spent_tokens", "spent_usd")).alias("f")
+    out = over.groupBy("run_id", "node_id").agg(F.count("*").alias("calls"), first).select("run_id", "node_id", "calls", "f.call_no", "f.limit", "f.spent_tokens", F.col("f.spent_usd").cast("decimal(20,10)").alias("spent_usd"))
+    return _long(out, "call_no")
+
+
+@query
+def ledger_append(spark, d):
+    """Priced calls appended to a ledger by month, and summed up from there."""
+    path = staging.shared_dir(spark)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("run_id") * 3_600 + F.col("call_no"))
+    cost.record(_ledger(spark, d).where("cost_usd is not null").withColumns({"created_at": at, "latency_ms": F.lit(12)}), path)
+    return cost.by(cost.ledger(spark, path), "tenant_id", "provider")
 
 
 # --- tools ---------------------------------------------------------------------------------------
@@ -591,8 +632,10 @@ def node_duration_histogram(spark, d):
 
 @query
 def metrics_llm(spark, d):
-    sums = _ledger(spark, d).where("cost_usd is not null").groupBy("provider", "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"))
-    return sums.unpivot(["provider", "model", "calls"], ["input", "output"], "kind", "tokens")
+    sums = _ledger(spark, d).where("cost_usd is not null").groupBy("provider", "model").agg(
+        F.count("*").alias("calls"), F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.sum("cost_usd").cast("double").alias("cost_usd")
+    )
+    return sums.unpivot(["provider", "model", "calls", "cost_usd"], ["input", "output"], "kind", "tokens")
 
 
 @query

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,21 +26,25 @@ SCHEMA = T.StructType(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set, a local one (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runweave-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def numbered(new: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
-    """``new`` events with the seqs that follow each run's last one in ``log``."""
-    last = log.groupBy("run_id").agg(F.max("seq").alias("last_seq"))
+    """``new`` events with the seqs that follow each run's last one in ``log``, of which only the batch's
+    runs are added up."""
+    last = log.join(new.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id").agg(F.max("seq").alias("last_seq"))
     w = Window.partitionBy("run_id").orderBy(*order)
     return new.join(last, "run_id", "left").withColumn("seq", F.coalesce("last_seq", F.lit(0)) + F.row_number().over(w)).drop("last_seq")
 
 
+def of_run(log: DataFrame, run_id: str) -> DataFrame:
+    """A run's events. The month of its version-7 id names the partition, so only that one is read; of
+    another id all are."""
+    rows = log.where(F.col("run_id") == run_id)
+    hexes = run_id.replace("-", "")
+    if len(hexes) != 32 or hexes[12] != "7":
+        return rows
+    made = datetime.datetime.fromtimestamp(int(hexes[:12], 16) / 1000, datetime.timezone.utc)
+    return rows.where(F.col("partition_key") == F.lit(made.date().replace(day=1)))
+
+
 def conflicts(new: DataFrame, log: DataFrame) -> DataFrame:
     """Events of ``new`` whose (run_id, seq) the log holds already: the batch must not be written."""
     return new.join(log.select("run_id", "seq"), ["run_id", "seq"], "left_semi")

@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Nodes: a chain (shape 0), a fan (1) or a ladder whose nodes depend on the two before them (2); a run of
+#: three nodes and more gets an edge to its last node later, of one of three types.
 RUN_EVENTS = """
 WITH n AS (
   SELECT l_orderkey AS run_id, l_returnflag AS rf, l_linestatus AS ls,
@@ -18,7 +21,7 @@ WITH n AS (
   FROM lineitem),
 x AS (SELECT run_id, count(*) AS cnt, min(CASE WHEN rf = 'R' THEN i END) AS ff FROM n GROUP BY run_id),
 o AS (
-  SELECT o_orderkey AS run_id, o_custkey % 16 AS tenant_id, o_custkey % 2 AS shape, o_orderstatus AS st,
+  SELECT o_orderkey AS run_id, o_custkey % 16 AS tenant_id, o_custkey % 3 AS shape, o_orderstatus AS st,
          o_orderdate AS t0, coalesce(x.cnt, 0) AS cnt, x.ff AS ff,
          CASE WHEN x.cnt IS NULL THEN -1 WHEN o_orderstatus = 'P' THEN 0
               WHEN x.ff IS NULL THEN x.cnt - 1 ELSE x.ff END AS le
@@ -26,20 +29,35 @@ o AS (
 e AS (
   SELECT run_id, 0 AS phase, 0 AS i, 0 AS sub, 'run.created' AS event_type, 0 AS attempt FROM o
   UNION ALL SELECT run_id, 1, i, 0, 'node.added', 0 FROM n
-  UNION ALL SELECT run_id, 2, 0, 0, 'run.started', 0 FROM o
-  UNION ALL SELECT n.run_id, 3, n.i, 0, 'node.started', 1 FROM n JOIN o ON o.run_id = n.run_id WHERE n.i <= o.le
-  UNION ALL SELECT n.run_id, 3, n.i, 1, 'node.started', 2 FROM n JOIN o ON o.run_id = n.run_id WHERE n.i <= o.le AND n.ls = 'O'
-  UNION ALL SELECT n.run_id, 3, n.i, 2, CASE WHEN n.rf = 'R' THEN 'node.failed' ELSE 'node.succeeded' END,
+  UNION ALL SELECT run_id, 2, cnt - 1, 0, 'edge.added', 0 FROM o WHERE cnt >= 3
+  UNION ALL SELECT run_id, 3, 0, 0, 'run.started', 0 FROM o
+  UNION ALL SELECT n.run_id, 4, n.i, 0, 'node.started', 1 FROM n JOIN o ON o.run_id = n.run_id WHERE n.i <= o.le
+  UNION ALL SELECT n.run_id, 4, n.i, 1, 'node.started', 2 FROM n JOIN o ON o.run_id = n.run_id WHERE n.i <= o.le AND n.ls = 'O'
+  UNION ALL SELECT n.run_id, 4, n.i, 2, CASE WHEN n.rf = 'R' THEN 'node.failed' ELSE 'node.succeeded' END,
                    CASE WHEN n.ls = 'O' THEN 2 ELSE 1 END
             FROM n JOIN o ON o.run_id = n.run_id WHERE n.i <= o.le AND NOT (o.st = 'O' AND n.i = o.le)
-  UNION ALL SELECT n.run_id, 4, n.i, 0, 'node.skipped', 0 FROM n JOIN o ON o.run_id = n.run_id
+  UNION ALL SELECT n.run_id, 5, n.i, 0, 'node.skipped', 0 FROM n JOIN o ON o.run_id = n.run_id
             WHERE n.i > o.le AND (o.st = 'P' OR (o.st = 'F' AND o.ff IS NOT NULL))
-  UNION ALL SELECT run_id, 5, 0, 0, CASE WHEN st = 'P' THEN 'run.cancelled' WHEN ff IS NOT NULL THEN 'run.failed'
+  UNION ALL SELECT run_id, 6, 0, 0, CASE WHEN st = 'P' THEN 'run.cancelled' WHEN ff IS NOT NULL THEN 'run.failed'
                    ELSE 'run.succeeded' END, 0 FROM o WHERE st IN ('P', 'F')),
 run_events AS (
   SELECT e.run_id, o.tenant_id, o.shape, o.t0, row_number() OVER (PARTITION BY e.run_id ORDER BY phase, i, sub) AS seq,
          event_type, CASE WHEN event_type LIKE 'node.%' THEN i END AS node_id, attempt,
-         CASE WHEN event_type = 'node.added' AND i > 0 THEN CASE WHEN o.shape = 0 THEN i - 1 ELSE 0 END END AS dep_id
+         CASE WHEN event_type = 'node.added' AND i > 0 THEN CASE WHEN o.shape = 0 OR o.shape = 2 AND i = 1 THEN concat('', i - 1)
+              WHEN o.shape = 1 THEN '0' ELSE concat(i - 2, ',', i - 1) END END AS deps,
+         CASE WHEN event_type = 'edge.added' THEN i - 1 - e.run_id % 2 END AS from_node, CASE WHEN event_type = 'edge.added' THEN i END AS to_node,
+         CASE WHEN event_type = 'edge.added' THEN CASE e.run_id % 3 WHEN 0 THEN 'reflection' WHEN 1 THEN 'dependency' ELSE 'reject' END END AS edge_type,
+         CASE WHEN event_type = 'node.added' THEN CASE i % 5 WHEN 0 THEN 'planner' WHEN 1 THEN 'executor' WHEN 2 THEN 'critic' WHEN 3 THEN 'verifier' ELSE 'task' END END AS role,
+         CASE WHEN event_type = 'node.added' THEN i % 3 END AS reflection_depth,
+         CASE WHEN event_type = 'node.succeeded' THEN concat('{"i": ', i, '}') END AS output,
+         CASE WHEN event_type IN ('node.failed', 'run.failed') THEN CASE e.run_id % 5 WHEN 0 THEN 'ToolTimeoutError' WHEN 1 THEN 'ToolIndeterminateError'
+              WHEN 2 THEN 'BudgetExceededError' WHEN 3 THEN 'ProviderUnavailableError' ELSE 'ValueError' END END AS error_class,
+         CASE WHEN event_type IN ('node.failed', 'run.failed') THEN concat('attempt ', attempt) END AS message,
+         CASE WHEN event_type = 'run.created' THEN concat('{"nodes": ', o.cnt, '}') END AS input,
+         CASE WHEN event_type = 'run.started' THEN concat('w', e.run_id % 4) END AS worker,
+         CASE WHEN event_type = 'run.succeeded' THEN '{}' END AS result,
+         CASE WHEN event_type = 'run.cancelled' THEN 'cancelled' WHEN event_type = 'node.skipped' THEN CASE WHEN o.st = 'P' THEN 'run cancelled' ELSE 'upstream failure' END END AS reason,
+         e.run_id * 100 + phase * 10 + sub AS occurred_at
   FROM e JOIN o ON o.run_id = e.run_id)
 """
 
@@ -58,30 +76,42 @@ PRICES = {("alpha", "large"): ("3", "15"), ("beta", "medium"): ("2.5", "10"), ("
 
 LLM_CALLS_BIG = """
 WITH calls AS (
-  SELECT l_orderkey AS run_id, l_shipdate AS created_at, l_returnflag AS flag, l_linestatus AS status,
+  SELECT l_orderkey AS run_id, l_linenumber % 2 AS node_id, l_shipdate AS created_at, l_returnflag AS flag, l_linestatus AS status,
          CAST(l_quantity * 100 AS BIGINT) AS input_tokens, CAST(floor(l_extendedprice) AS BIGINT) % 5000 AS output_tokens,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS call_no
   FROM lineitem)
 """
 
+#: Only requests name their tool.
 TOOL_LOG = """
 WITH tool_log AS (
   SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'tool.requested' WHEN 'view' THEN 'tool.completed'
            WHEN 'error' THEN 'tool.failed' ELSE 'tool.indeterminate' END AS event_type,
-         concat_ws(':', user_id, event_id % 7, 1, event_id % 3) AS idempotency_key, concat('t', event_id % 3) AS tool, value AS result,
+         concat_ws(':', user_id, event_id % 7, 1, event_id % 3) AS idempotency_key,
+         CASE WHEN event_type = 'signup' THEN concat('t', event_id % 3) END AS tool, CASE WHEN event_type = 'view' THEN value END AS result,
          row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq
   FROM events WHERE event_type <> 'click')
 """
 
+#: Every thirteenth event repeats the seq before it.
 LIFECYCLES = """
 WITH lifecycles AS (
   SELECT user_id * 1000 + CAST(floor(event_id / 40) AS BIGINT) % 1000 AS run_id, event_id,
          CASE event_type WHEN 'signup' THEN 'run.created' WHEN 'view' THEN 'run.started' WHEN 'purchase' THEN 'run.succeeded'
            WHEN 'error' THEN 'run.failed' ELSE 'node.started' END AS event_type,
-         row_number() OVER (PARTITION BY user_id * 1000 + CAST(floor(event_id / 40) AS BIGINT) % 1000 ORDER BY event_id) AS seq
+         row_number() OVER (PARTITION BY user_id * 1000 + CAST(floor(event_id / 40) AS BIGINT) % 1000 ORDER BY event_id) - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS seq
   FROM events)
 """
 
+#: Lease acquisitions (a token more for the run) and appends that mostly carry the token of the time.
+FENCED = """
+WITH acts AS (
+  SELECT user_id AS run_id, event_id AS seq, event_type = 'signup' AS takes,
+         sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS now FROM events),
+fenced AS (
+  SELECT run_id, seq, takes, CAST(CASE WHEN takes THEN now WHEN seq % 17 = 0 THEN now - 1 WHEN seq % 23 = 0 THEN now + 1 ELSE now END AS BIGINT) AS token FROM acts)
+"""
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -92,13 +122,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL whose FROM and JOIN name tables of ``sf_dir``."""
     used = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
+    text = text.replace("{", "{{").replace("}", "}}")
     text = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], text)
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, tenant_id, shape, t0, seq, event_type, node_id, attempt, dep_id: legal logs of runs."""
-    return sql(spark, sf_dir, RUN_EVENTS + "SELECT * FROM run_events")
+    """Legal logs of runs: run_id, tenant_id, shape, t0, seq, event_type, occurred_at, and what events carry:
+    node_id, attempt, dependencies, role, reflection_depth, output, error_class, message, reason, input, worker, result; of
+    later edges from_node, to_node, edge_type."""
+    log = sql(spark, sf_dir, RUN_EVENTS + "SELECT * FROM run_events")
+    return log.withColumn("dependencies", F.split("deps", ",").cast("array<bigint>")).drop("deps")
 
 
 def llm_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +148,11 @@ def tool_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, TOOL_LOG + "SELECT * FROM tool_log")
 
 
+def fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, seq, takes (a lease is acquired, else an append), token."""
+    return sql(spark, sf_dir, FENCED + "SELECT * FROM fenced")
+
+
 def lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of which many are illegal."""
     return sql(spark, sf_dir, LIFECYCLES + "SELECT * FROM lifecycles")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.sources.event_log import shared_dir
+from runweave.sources.staging import shared_dir
 
 
 def stored(log: DataFrame) -> str:
@@ -23,19 +23,28 @@ def follow(spark: SparkSession, path: str, schema, after_seq: int = 0) -> DataFr
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote."""
+    """Run a stream over what is there and return all that it wrote, each batch in a folder of its own
+    that a repeated batch overwrites; ``mode`` is the stream's output mode."""
     spark = stream.sparkSession
     out = shared_dir(spark)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("basePath", out).parquet(out).select(stream.columns)
 
 
 def states(stream: DataFrame) -> DataFrame:
-    """run_id, last_seq and the type of the last lifecycle event: one row of state for each run."""
-    life = F.col("event_type").startswith("run.")
-    return stream.groupBy("run_id").agg(F.max("seq").alias("last_seq"), F.max_by(F.when(life, F.col("event_type")), F.when(life, F.col("seq"))).alias("last_lifecycle"))
+    """run_id, day, last_seq, and seq and type of the last lifecycle event, of each run and day of its
+    events, to be written in update mode: a batch writes what it changed, and the state of a day
+    leaves when the watermark has passed it. ``merged`` makes run states of it."""
+    life = F.when(F.col("event_type").startswith("run."), F.struct("seq", "event_type"))
+    days = stream.withWatermark("occurred_at", "1 day").groupBy("run_id", F.window("occurred_at", "1 day").alias("day"))
+    return days.agg(F.max("seq").alias("last_seq"), F.max(life).alias("life")).select("run_id", F.col("day.start").alias("day"), "last_seq", "life")
+
+
+def merged(updates: DataFrame) -> DataFrame:
+    """run_id, last_seq and the type of the last lifecycle event, from all updates."""
+    return updates.groupBy("run_id").agg(F.max("last_seq").alias("last_seq"), F.max("life")["event_type"].alias("last_lifecycle"))

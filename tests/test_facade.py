@@ -4,6 +4,7 @@ import pytest
 
 from runweave.facade import Ledger, Runs
 from runweave.operators import cost
+from runweave.sources import event_log
 from runweave.sources.fixtures import PRICES, llm_calls
 
 
@@ -34,3 +35,16 @@ def test_ledger(spark, small):
     assert ledger.node_cost(one["run_id"], one["node_id"]).first()["calls"] >= 1
     assert ledger.run_cost(one["run_id"]).first()["cost_usd"] <= ledger.tenant_cost(one["tenant_id"]).first()["cost_usd"]
     assert str(ledger.run_cost(-1).first()["cost_usd"]) in ("0E-10", "0.0000000000")
+
+
+def test_a_run_is_read_from_its_month(spark, tmp_path):
+    path = str(tmp_path / "log")
+    runs_of = Runs(spark, path, "t1")
+    march, may = "018df9b1-0000-7000-8000-000000000001", "018f3246-0000-7000-8000-000000000002"
+    rows = [(march, "", "{}", 0), (may, "", "{}", 0)]
+    runs_of.create_runs(events(spark, rows).drop("event_type", "order"))
+    runs_of.append(events(spark, [(may, "run.started", "{}", 1)]))  # in March, of a run of May
+    assert [r["event_type"] for r in runs_of.replay(may).collect()] == ["run.created", "run.started"]
+    assert {r["run_id"]: str(r["partition_key"]) for r in runs_of.log().collect()} == {march: "2024-03-01", may: "2024-05-01"}
+    plan = event_log.of_run(runs_of.log(), may)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition_key" in plan and "2024-05-01" in plan

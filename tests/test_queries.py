@@ -39,12 +39,27 @@ def test_query_equals_sql(spark, duck, small, name):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
-@pytest.mark.parametrize("text", ["DROP TABLE orders", "CREATE TABLE x AS SELECT 1", "INSERT INTO orders SELECT * FROM orders", "SET a = 1"])
+REFUSED = [
+    "DROP TABLE orders", "CREATE TABLE x AS SELECT 1", "INSERT INTO orders SELECT * FROM orders", "SET a = 1", "SHOW TABLES", "EXPLAIN SELECT 1", "CACHE TABLE orders", "DESCRIBE orders",
+    "SELECT TRANSFORM(o_orderkey) USING 'cat' AS x FROM orders", "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT java_method('java.lang.System', 'exit', 1)", "SELECT * FROM parquet.`/tmp/x`",
+    "SELECT * FROM (SELECT reflect('java.util.UUID', 'randomUUID') AS x)", "SELECT 1 WHERE EXISTS (SELECT * FROM json.`/etc/passwd`)", "SELECT (SELECT max(reflect('a', 'b')) FROM orders)", "SELECT * FROM nowhere",
+    "SELECT * FROM read_files('/etc/passwd')", "WITH x AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM x", "SELECT o_orderkey FROM orders ORDER BY reflect('a', 'b')", "SELECT * FROM range(10)",
+]
+
+
+@pytest.mark.parametrize("text", REFUSED)
 def test_read_only_sql_refuses(spark, small, text):
     with pytest.raises(readonly.ReadOnlyError):
         readonly.query(spark, small, text)
 
 
+def test_read_only_sql_leaves_no_views(spark, small):
+    text = "WITH big AS (SELECT * FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)) SELECT n_name, count(*) AS n FROM big JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name IN (SELECT n_name FROM nation) GROUP BY n_name HAVING count(*) > 1 ORDER BY n DESC LIMIT 3"
+    assert readonly.checked(spark, text) == {"orders", "customer", "nation"}
+    assert readonly.query(spark, small, text).count() == 3
+    assert not {t.name for t in spark.catalog.listTables()} & set(TABLES)
+
+
 def test_append_and_replay(spark, tmp_path):
     rows = [("2024-01-01", r, s, f"{r}-{s}", "t", "run.created", 1, "{}") for r in ("a", "b") for s in (1, 2, 3, 4, 5)]
     log = spark.createDataFrame(rows, "partition_key string, run_id string, seq long, event_id string, tenant_id string, event_type string, payload_version int, payload string")
