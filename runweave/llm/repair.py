@@ -16,6 +16,7 @@ an empty file; further columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from runweave.llm import windows
 from runweave.llm.common import columns, over_rows, running_total, text_bytes, written
 
-#: Ids in a block, rounds of replacement, pairs replaced in a round, and how often a pair must occur.
+#: Ids in a block, pairs replaced in a round at most (others wait for the next), and how often a pair must occur.
 SLOT_BITS = 20
-BLOCK_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 5, 4096, 24
+BLOCK_IDS, PAIRS, LEAST = 1 << 20, 16384, 24
 MEMO_WORDS = 1_000_000
 PLACE_BITS, JOINED = 21, 200
 _MARK, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
@@ -49,7 +50,8 @@ class Words:
     follows an ASCII letter or digit (apostrophes may begin a contraction and stay with the word);
     a text's ids are those of these pieces in order. ASCII words are lowered first, as the tokenizer
     does after composing. Pieces are known by length and a 64-bit hash; ids of known ones come from
-    a table, new ones go to the tokenizer, each once."""
+    a table, new ones go to the tokenizer, each once. A text with the string of an added token goes to
+    the tokenizer whole, because such a string may stand across pieces."""
 
     _made: dict[str, Words] = {}
 
@@ -58,7 +60,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.size = self.tokenizer.get_vocab_size()
         self.final = np.zeros(self.size, bool)  # tokens that end a word
         self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -138,6 +141,23 @@ class Words:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes and offsets, as in an Arrow array) and where each text's begin."""
+        raw = data.tobytes()
+        hits = [m.start() for m in self.special.finditer(raw)] if self.special else []
+        rows = np.unique(np.searchsorted(offsets, hits, "right") - 1) if hits else np.empty(0, np.int64)
+        if not len(rows):
+            return self._encode(data, offsets)
+        whole, count = self._ids([raw[offsets[i] : offsets[i + 1]].decode() for i in rows.tolist()])
+        ends = np.cumsum(count)
+        parts, at = [], 0
+        for k, i in enumerate(rows.tolist()):  # the texts between them, and each of them
+            parts.append(self._encode(data[offsets[at] : offsets[i]], offsets[at : i + 1] - offsets[at]))
+            parts.append((whole[ends[k] - count[k] : ends[k]], np.array([0, count[k]])))
+            at = i + 1
+        parts.append(self._encode(data[offsets[at] : offsets[-1]], offsets[at:] - offsets[at]))
+        sizes = np.concatenate([np.diff(begin) for _, begin in parts])
+        return np.concatenate([ids for ids, _ in parts]).astype(np.uint32), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, starts, ends, first = word_pieces(data, offsets)
         units = windows.hashes(windows.prefix(windows.byte_units(data)), starts, ends) ^ windows.mix((ends - starts).astype(np.uint64))
         number = self.look_up(units)
@@ -185,9 +205,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
     seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
     left, right = np.empty(0, np.int64), np.empty(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         span = base + len(left)
         keys = seq[:-1] * span + seq[1:]
         keys[last[:-1]] = -1
@@ -274,7 +292,7 @@ class Block:
         return self.ids(end - int(self.lengths[index]), end)
 
 
-def blocks(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The blocks of all documents, in ascending doc_id order (``BLOCKS``).
 
     ``first`` counts the shard's ids before the block; a null doc_id is stored as the smallest long."""
@@ -300,7 +318,7 @@ def blocks(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
                 flat, at = words.encode(data, offsets)
                 for k, i in enumerate(ids[row:stop]):
                     own = flat[at[k] : at[k + 1]].tobytes()
-                    if held and held + len(own) // 4 + 1 > BLOCK_IDS:
+                    if held and held + len(own) // 4 + 1 > block_ids:
                         yield flush()
                         first, block, held = first + held, block + 1, 0
                         names, parts = [], []
@@ -314,9 +332,9 @@ def blocks(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BLOCKS)
 
 
-def save(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def save(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write the blocks of ``docs`` to the shared folder; returns the table as read back."""
-    return written(blocks(docs, path, end_id), "repair")
+    return written(blocks(docs, path, end_id, block_ids), "repair")
 
 
 def read(table: DataFrame) -> DataFrame:
