@@ -20,8 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` there and read it back: lineage ends here, and no lost executor repeats the steps before."""
     path = shared_dir(df.sparkSession)
+    forget_at_exit(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
