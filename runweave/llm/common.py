@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,22 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runweave.sources.staging import forget_at_exit, shared_dir
+
 #: Rows of one Arrow batch: long texts must not gather in a worker.
 BATCH_ROWS = 400
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set, a local one (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runweave-"))
-    return sc.getCheckpointDir()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here. The
+    table goes when the application ends."""
+    path = f"{shared_dir(df.sparkSession)}-{name}"
+    forget_at_exit(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -52,13 +46,6 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi- or anti-join of whole documents with (doc_id, text_hash) ``keys``, null ids too."""
-    keys = keys.select(F.col("doc_id").alias("_runweave_id"), F.col("text_hash").alias("_runweave_hash"))
-    same = docs["doc_id"].eqNullSafe(keys["_runweave_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["_runweave_hash"])
-    return docs.join(keys, same, how)
-
-
 def over_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function that is made once for each task and called for each batch."""
 

@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +160,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], 100 * n)).first()[0]
     cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
+    shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # four for each shuffle partition
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, key.to_numpy()).astype(np.int32))
+
+    rows = rows.withColumn("bucket", bucket("key"))
     ends = sorted(rows.groupBy("bucket").agg(F.min("key"), F.max("key")).collect())
     after = [(ends[i - 1][2], ends[i][0]) for i in range(len(ends))]  # the greatest key of the bucket below, the last for the first
     follow = spark.createDataFrame(after, "key long, bucket int")

@@ -26,15 +26,19 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import columns, matching, over_rows, text_bytes, text_hash, written
-from runweave.llm.components import components
+from runweave.llm import windows
+from runweave.llm.common import columns, over_rows, text_bytes, text_hash, written
+from runweave.llm.components import attached, components
+from runweave.llm.imatch import terms_of
 
 SEED = 42
-#: Members of an anchor that are compared at once.
-TILE = 2048
+#: Members of an anchor that are compared at once; of a crowded anchor those that a task holds, such anchors
+#: at most, and a look at one in so many fingerprints that finds them.
+TILE, CROWD, CROWDS, LOOK = 2048, 1 << 14, 1000, 64
 #: Documents of the sample for frequent shingles, and those at most; rows of a task's prefixes and pairs of them at once.
 SAMPLE, FREQUENT, ROWS, AT_ONCE = 5_000, 200_000, 1 << 16, 1 << 20
 
@@ -57,9 +61,10 @@ class Plan:
         return -(-self.bits // 64)
 
 
-#: Proposes links of five-word shingles: 13 blocks of a 23-bit Golay code, one bit of slack each. It does
-#: not find every pair of similarity 0.8; ``similar`` confirms what it proposes and finds the others.
-NEAR = Plan(shingle=5, bits=299, block=23, distance=48)
+#: Proposes links of five-word shingles: 5 blocks of a 23-bit Golay code, one bit of slack each, which meet
+#: 97 % of pairs at similarity 0.95, 82 % at 0.9 and 46 % at 0.8, enough to join crowds of near copies.
+#: ``similar`` confirms what it proposes and finds all the others.
+NEAR = Plan(shingle=5, bits=115, block=23, distance=16)
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -88,16 +93,19 @@ def lane(hashes: np.ndarray, i: int) -> np.ndarray:
 
 
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+#: The bits of a byte, each in a byte of a number: 255 of them add up without a carry.
+_SPREAD = np.ascontiguousarray(_BITS_OF_BYTE.astype(np.uint8)).view(np.uint64).ravel()
 
 
-def fingerprint(text: bytes, plan: Plan) -> bytes:
-    """The fingerprint, big-endian, 8 bytes a lane."""
-    hashes = shingle_hashes(text, plan.shingle)
+def fingerprint(hashes: np.ndarray, plan: Plan) -> bytes:
+    """The fingerprint of shingle hashes, big-endian, 8 bytes a lane."""
     out = b""
     for i in range(plan.lanes):
         data = lane(hashes, i).astype(">u8").view(np.uint8).reshape(-1, 8)
-        if len(data) < 512:
-            counts = np.unpackbits(data, axis=1).sum(0, dtype=np.int64)
+        if len(data) < 2048:
+            counts = np.zeros(64, np.int64)
+            for k in range(0, len(data), 255):
+                counts += _SPREAD[data[k : k + 255]].sum(0, dtype=np.uint64).view(np.uint8)
         else:  # one count for each byte value, then the bits of the values
             counts = np.concatenate([np.bincount(data[:, k], minlength=256) @ _BITS_OF_BYTE for k in range(8)])
         out += np.packbits(counts * 2 > len(data)).tobytes()
@@ -110,7 +118,7 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             (texts,) = columns(batch, "text")
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t, plan) for t in texts], pa.binary())], names=["doc_id", "text_hash", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(shingle_hashes(t, plan.shingle), plan) for t in texts], pa.binary())], names=["doc_id", "text_hash", "fp"])
 
         return each
 
@@ -253,9 +261,30 @@ def large_group(home: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(rows: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): links between distinct fingerprints, as numbers (``number_of``), that join all that
-    are joined by pairs at most ``plan.distance`` bits apart which meet at an anchor."""
+def crowded(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(anchor, tiles) of anchors with very many members, by a sample of the fingerprints. It decides how
+    members are dealt to tasks, not what is found."""
+    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0)
+    counts = replicated(some, plan).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * LOOK > CROWD)
+    return written(counts.orderBy(F.desc("n"), "anchor").limit(CROWDS).select("anchor", F.ceil(F.col("n") * LOOK / CROWD).cast("int").alias("tiles")), "crowded")
+
+
+def dealt(rows: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(anchor, home, fp): of a crowded anchor each tile of homes with each tile of members, under a key
+    of its own; equal keys by chance only add comparisons."""
+    rows = rows.join(F.broadcast(crowds), "anchor", "left")  # CROWDS rows at most
+    few = rows.where("tiles is null").select("anchor", "home", "fp")
+    many = rows.where("tiles is not null").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    homes = many.where("home").select(F.xxhash64("anchor", "own", F.col("other").cast("long")).alias("anchor"), "home", "fp")
+    members = many.where("not home or own <> other").select(F.xxhash64("anchor", F.col("other").cast("long"), "own").alias("anchor"), F.lit(False).alias("home"), "fp")
+    return few.union(homes).union(members)
+
+
+def links(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): links between distinct fingerprints (``nodes``: fp), that join all that are joined by pairs
+    at most ``plan.distance`` bits apart which meet at an anchor."""
+    rows = dealt(replicated(nodes, plan), crowded(nodes, plan))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compare(keys: list[np.ndarray], homes: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
@@ -297,34 +326,32 @@ def links(rows: DataFrame, plan: Plan) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def grouped(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, text_hash, fp (binary) and ``root``, the least fingerprint of its component, of each
-    document. Links are searched among distinct fingerprints only."""
-    prints = written(fingerprints(docs, plan), "fingerprints")
-    nodes = prints.select("fp").distinct()
-    roots = components(links(replicated(nodes, plan), plan)).withColumnRenamed("node", "fp")
-    return prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
 def components_of(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """doc_id, fp (binary) and component_id, the smallest doc_id that links reach."""
-    rows = written(grouped(docs, plan).select("doc_id", "fp", "root"), "groups")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", "fp", "component_id")
+    """doc_id, fp (binary) and component_id, the smallest doc_id that links reach. Links are searched
+    among distinct fingerprints only, and rows are added up to those first."""
+    prints = written(fingerprints(docs, plan).select("doc_id", "fp"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), plan)).withColumnRenamed("node", "fp")
+    nodes = written(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "nodes")
+    least = written(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    found = written(attached(nodes, "root", least).select("fp", "component_id"), "found")
+    return attached(prints, "fp", found)
 
 
 def deduplicated(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     """The documents that stay, in their columns: of each component of texts whose sets of shingles
     have a Jaccard similarity of 0.8 and more the row with the smallest doc_id (null after all
     others; of rows that share it, the least text hash; of equal rows one)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    kept = similar(docs, plan).groupBy("root").agg(first.alias("kept")).select("kept.doc_id", "kept.text_hash")
-    once = docs.withColumn("_runweave_text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return matching(once, kept, "left_semi").dropDuplicates(["doc_id", "_runweave_text"]).drop("_runweave_text")
+    kept = similar(docs, plan).select(F.col("kept.doc_id").alias("_runweave_id"), F.col("kept.text_hash").alias("_runweave_hash"))
+    lowest = F.lit(-(1 << 63))  # a null id
+    kept = kept.withColumn("_runweave_id", F.coalesce("_runweave_id", lowest))
+    once = docs.withColumns({"_runweave_id": F.coalesce(F.col("doc_id").cast("long"), lowest), "_runweave_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    keys = ["_runweave_id", "_runweave_hash"]  # the join deals rows by them already, so equal rows stand together
+    return once.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def similar(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
-    """doc_id, text_hash, node (of its set of shingles) and ``root``, the least node of its component.
+    """root, of each component of similar sets, and ``kept``: no_id, doc_id, text_hash of its first row.
 
     Near fingerprints come first: what they link and the sets confirm joins crowds of copies without
     listing their pairs. Fingerprints that lie apart, or never meet at an anchor, can still belong to
@@ -332,17 +359,29 @@ def similar(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     prints = written(shingled(docs, plan), "shingled")
     nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"))
     one = written(nodes.groupBy("fp").agg(F.min("node").alias("one")), "prints")
-    met = links(replicated(one.select("fp"), plan), plan)
+    met = links(one.select("fp"), plan)
     met = met.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select("x", "y")
     same = nodes.join(one, "fp").where("node <> one").select("one", "node")
     close = written(confirmed(met.union(same).toDF("a", "b"), prints, docs, plan), "close")
     more = confirmed(sharing(docs, components(close), plan), prints, docs, plan)
     roots = components(close.union(more)).select("node", "root")
-    return prints.select("doc_id", "text_hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept")
+    nodes = prints.groupBy("node").agg(first).join(roots, "node", "left")  # copies are one row by then
+    return nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("kept").alias("kept"))
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
+def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes (rolling hashes of ASCII-lowered words), sorted."""
+    for row, stop, data, offsets in windows.pieces(batch, column):
+        units, first = terms_of(data, offsets)
+        sums = windows.prefix(units)
+        start = np.arange(max(len(units) - width + 1, 0))
+        every = windows.hashes(sums, start, start + width)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a >= width:
+                yield np.unique(every[a : b - width + 1])
+            else:  # one shingle of all words; none without words
+                yield windows.hashes(sums, np.array([a] * (b > a), np.int64), np.array([b] * (b > a), np.int64))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -354,9 +393,11 @@ def shingled(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            (texts,) = columns(batch, "text")
-            nodes = pa.array([node_of(shingle_set(t, plan.shingle)) for t in texts], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array([fingerprint(t, plan) for t in texts], pa.binary())], names=["doc_id", "text_hash", "node", "fp"])
+            nodes, prints = [], []
+            for members in shingle_sets(batch, "text", plan.shingle):
+                nodes.append(node_of(members))
+                prints.append(fingerprint(members, plan))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "text_hash", "node", "fp"])
 
         return each
 
@@ -366,24 +407,31 @@ def shingled(docs: DataFrame, plan: Plan) -> DataFrame:
 
 def confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Of pairs of nodes (a, b) those whose sets have a similarity of 0.8 and more, by the text of
-    one document of each node."""
+    one document of each node. Texts travel compressed."""
     pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    who = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("node", F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("hash"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_bytes())
-    rows = rows.join(who, rows["doc_id"].eqNullSafe(who["id"]) & (rows["text_hash"] == who["hash"]))
-    texts = written(rows.select("node", "text").dropDuplicates(["node"]), "texts")
+    lowest = F.lit(-(1 << 63))  # a null id
+    one = F.min(F.struct(F.coalesce("doc_id", lowest).alias("id"), F.col("text_hash").alias("hash"))).alias("one")
+    who = prints.groupBy("node").agg(one).join(asked, "node", "left_semi").select("node", "one.id", "one.hash")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id"), text_hash().alias("hash"), text_bytes())
+    texts = written(packed(rows).join(who, ["id", "hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def make():
+        opened = zstandard.ZstdDecompressor()
+
+        def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+            return shingle_sets(pa.RecordBatch.from_arrays([pa.array([opened.decompress(t) for t in texts], pa.large_binary())], names=["text"]), "text", plan.shingle)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            take, held = [], (None, None)
-            for a, x, y in zip(*columns(batch, "a", "x", "y"), strict=True):
-                if held[0] != a:
-                    held = a, shingle_set(x, plan.shingle)
-                other = shingle_set(y, plan.shingle)
-                both = len(np.intersect1d(held[1], other, assume_unique=True))
-                take.append(5 * both >= 4 * (len(held[1]) + len(other) - both))
-            return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(take)) for i in (0, 1)], names=["a", "b"])
+            a, x, y = columns(batch, "a", "x", "y")
+            first = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]  # rows come in runs of one a
+            take, own, run = [], sets([x[i] for i in first]), 0
+            for i, other in enumerate(sets(y)):
+                if run < len(first) and first[run] == i:
+                    mine, run = next(own), run + 1
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                take.append(5 * both >= 4 * (len(mine) + len(other) - both))
+            return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(take, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
         return each
 
@@ -391,6 +439,21 @@ def confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan)
     return over_rows(both, make, "a long, b long")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """id, hash and the compressed text."""
+
+    def make():
+        press = zstandard.ZstdCompressor(level=1)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            (texts,) = columns(batch, "text")
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press.compress(t) for t in texts], pa.binary())], names=["id", "hash", "text"])
+
+        return each
+
+    return over_rows(rows, make, "id long, hash long, text binary")
+
+
 def prefix_length(size: np.ndarray) -> np.ndarray:
     """Two sets with a similarity of 0.8 and more share one of so many first members in any order."""
     return size - (4 * size + 4) // 5 + 1
@@ -402,8 +465,7 @@ def frequent(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, plan.shingle) for t in columns(batch, "text")[0]]
-            unit, n = np.unique(np.concatenate(sets), return_counts=True)
+            unit, n = np.unique(np.concatenate(list(shingle_sets(batch, "text", plan.shingle))), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(n)], names=["unit", "n"])
 
         return each
@@ -427,8 +489,7 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text in columns(batch, "text")[0]:
-                members = shingle_set(text, plan.shingle)
+            for members in shingle_sets(batch, "text", plan.shingle):
                 node = node_of(members)
                 if node in seen or not len(members):
                     continue

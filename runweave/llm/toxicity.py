@@ -91,13 +91,15 @@ def features_of(ratios: Ratios, text: bytes) -> tuple[float, float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, ordinary_rows: int) -> DataFrame:
-    """doc_id, toxic, ``fits`` (counts or curve) and text of the labelled rows to learn from."""
+    """doc_id, toxic, ``curve`` (fits the curve, not the counts) and text of the labelled documents to
+    learn from; of rows that share a doc_id the one with the least hash of its text."""
     own = labels.where("toxic is not null and doc_id is not null").where(~held_out(3)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.withColumn("order", F.xxhash64("doc_id"))
     taken = [own.where(F.col("toxic") == t).orderBy("order", "doc_id").limit(n) for t, n in ((1, toxic_rows), (0, ordinary_rows))]
     chosen = taken[0].union(taken[1]).select("doc_id", "toxic", (F.pmod("order", F.lit(4)) == 0).alias("curve"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most toxic_rows + ordinary_rows narrow rows
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most toxic_rows + ordinary_rows narrow rows
+    return rows.groupBy("doc_id", "toxic", "curve").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "toxic", "curve", "t.text")
 
 
 def continuations(rows: DataFrame) -> DataFrame:

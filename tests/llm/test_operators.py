@@ -2,6 +2,7 @@
 doc_ids, repeated rows, long and repetitive texts, further columns with names the operators use."""
 
 import hashlib
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -84,6 +85,58 @@ def test_imatch_likeness():
     assert imatch.likeness(made.fingerprint(terms[:0]), whole) == 0
 
 
+def plain_imatch(text, kept):
+    """The level and, for each stored level, lexicon -> 16 bits, by loops over terms and lexicons."""
+    mix = lambda x: int(imatch.windows.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    terms = {int(u) for u in imatch.terms_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]}
+    own = terms & kept or terms
+    if not own:
+        return "0"
+    level = max(1, int(np.ceil(np.log2(len(own)))) + 1)
+    out = [f"{level}{'' if terms & kept else '*'}"]
+    for j in range(level, level + imatch.LEVELS):
+        entries = ""
+        for lexicon in range(imatch.LEXICONS):
+            seed = mix((lexicon + 1) * 0xD6E8FEB86659FD93)
+            inside = [t for t in sorted(own) if 32 - (mix(t ^ seed) >> 32).bit_length() >= j]
+            if inside:
+                value = mix(sum(mix(t) * pow(0x9E3779B97F4A7C15, k, 2**64) for k, t in enumerate(inside)))
+                entries += f"{lexicon:02x}{value >> 8 & 255:02x}{value & 255:02x}"
+        out.append(entries)
+    return ":".join(out)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if "0" in (a, b):
+        return 0.0
+    levels = [int(x.split(":")[0].rstrip("*")) for x in (a, b)]
+    if max(levels) - min(levels) >= imatch.LEVELS:
+        return 0.0
+    stored = [x.split(":")[1 + max(levels) - n] for x, n in zip((a, b), levels, strict=True)]
+    one, two = ({x[i : i + 2]: x[i + 2 : i + 6] for i in range(0, len(x), 6)} for x in stored)
+    return sum(one.get(k) == two.get(k) for k in one.keys() | two.keys()) / max(1, len(one.keys() | two.keys()))
+
+
+def test_imatch_equals_a_plain_version(docs):
+    """Band, fingerprints, edited fingerprints and likeness of every row."""
+    terms = lambda t: {int(u) for u in imatch.terms_of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]}
+    df = Counter(u for _, t in ROWS for u in terms((t or "").encode()))
+    kept = {u for u, n in df.items() if n >= 2 and n <= max(2, imatch.COMMON * len(ROWS))}
+    band = imatch.band(docs)
+    assert set(band.tolist()) == kept
+    order = sorted(((i is not None, i or 0, t or "") for i, t in ROWS), key=lambda x: (not x[0], -x[1], x[2].encode()))
+    want, prints = Counter(), {}
+    fp = lambda t: prints.setdefault(t, plain_imatch(t.encode(), kept))
+    for k, (has, i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][2]
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        want[(i if has else None, fp(t), fp(edited), round(plain_likeness(fp(t), fp(edited)), 9), round(plain_likeness(fp(t), fp(following)), 9))] += 1
+    got = Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in imatch.compared(docs, band).collect())
+    assert got == want
+
+
 def test_imatch_empty(spark, none):
     assert imatch.compared(none, imatch.band(none)).count() == 0
 
@@ -102,19 +155,79 @@ def test_brown_base_and_counts(docs):
     assert all(r["score"] <= 1e-9 for r in got)
 
 
-def test_brown_probabilities_add_up(spark):
-    rows = [(i, t) for i, t in corpus(4) if i is not None]
+def brown_parts(spark, seed, **parameters):
+    rows = [(i, t) for i, t in corpus(seed) if i is not None]
     texts = spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     counts = brown.unigrams(texts)
-    m = brown.fitted(texts, counts, head=800, core=20, classes=4)
-    types = counts.count()
-    rare = types - len(m.units) + 1  # and the unknown one
-    k = len(m.transition)
+    return [t or "" for _, t in rows], counts, brown.fitted(texts, counts, **parameters)
+
+
+@pytest.mark.parametrize("parameters", [{"head": 30, "core": 20, "classes": 4, "least": 1}, {"core": 12, "classes": 3, "dense": 12}, {"core": 5, "dense": 400}])
+def test_brown_probabilities_add_up(spark, parameters):
+    _, counts, m = brown_parts(spark, 4, **parameters)
+    n = {r["unit"]: r["n"] for r in counts.collect()}
+    rare = len(n) - len(m.units) + 1  # and the unknown one
     assert np.allclose((10**m.transition).sum(1), 1)
-    mass = np.bincount(m.classes, 10**m.emission, minlength=k)
-    n_rare = counts.where((F.col("n") < m.least) & (F.col("unit") != int(brown.END.astype(np.int64)))).agg(F.sum("n")).first()[0] or 0
-    mass[brown.RARE_CLASS] += (n_rare + 0.5 * rare) / 10**m.rare
+    mass = np.bincount(m.classes, (m.counts + 0.5) / 10 ** m.mass[m.classes], minlength=len(m.transition))
+    mass[brown.RARE_CLASS] += (sum(n.values()) - m.counts.sum() + 0.5 * rare) / 10 ** m.mass[brown.RARE_CLASS]
     assert np.allclose(mass, 1)
+    assert set(m.classes[:-1].tolist()) <= set(range(2, len(m.transition))) and m.classes[-1] == brown.END_CLASS
+    end = int(brown.END.astype(np.int64))
+    assert sorted(m.units.view(np.int64).tolist()) == sorted(u for u, k in n.items() if k >= m.least or u == end)
+
+
+def test_brown_words_beyond_matrices_get_the_same_classes(spark):
+    _, _, one = brown_parts(spark, 4, core=12, classes=3, dense=12)
+    _, _, two = brown_parts(spark, 4, core=12, classes=3, dense=400)
+    assert (one.units == two.units).all() and (one.classes == two.classes).all()
+
+
+def test_brown_score_is_that_of_a_plain_class_bigram_model(docs):
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    tokens = lambda t: (t or "").encode().lower().split() + [None]
+    texts = docs.where(~held_out(5)).select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    m = brown.fitted(texts, brown.unigrams(texts))
+    unit = lambda w: brown.END if w is None else brown.tokens_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]
+    of_unit = dict(zip(m.units.tolist(), m.classes.tolist(), strict=True))
+    class_of = {w: of_unit.get(int(unit(w)), 1) for _, t in ROWS for w in tokens(t)}
+    train = [tokens(t) for i, t in ROWS if not held(i)]
+    c = Counter(w for t in train for w in t)
+    moves = Counter((a, b) for t in train for a, b in zip([0] + [class_of[w] for w in t], [class_of[w] for w in t]))
+    k = len(m.transition)
+    size, types, out = Counter(), Counter({1: 1}), Counter()
+    for w, x in c.items():
+        size[class_of[w]] += x
+        types[class_of[w]] += 1
+    for (a, _), x in moves.items():
+        out[a] += x
+    share = {a: (size[a] + 1) / (sum(size.values()) + k) for a in range(k)}
+    emit = lambda w: np.log10((c[w] + 0.5) / (size[class_of[w]] + 0.5 * types[class_of[w]]))
+    move = lambda a, b: np.log10((moves[a, b] + brown.STRENGTH * share[b]) / (out[a] + brown.STRENGTH))
+    plain = lambda t: sum(emit(w) + move(a, class_of[w]) for a, w in zip([0] + [class_of[w] for w in tokens(t)], tokens(t)))
+    want = sorted((str(i), len(tokens(t)), round(plain(t), 6)) for i, t in ROWS)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in brown.scores(docs, held_out(5)).collect()) == want
+
+
+def test_exchange_ends_in_a_local_optimum():
+    rng = np.random.default_rng(16)
+    f = lambda x: np.sum(x * np.log(np.maximum(x, 1)))
+
+    def objective(a, own, k):
+        hot = np.eye(k)[own]
+        t = hot.T @ a @ hot
+        return f(t) - f(t.sum(0)) - f(t.sum(1))
+
+    for _ in range(60):
+        m, k = int(rng.integers(3, 12)), int(rng.integers(2, 4))
+        a = rng.poisson(rng.gamma(0.5, 8, (m, m)))
+        own = brown.exchange(a, k)
+        best = objective(a, own, k)
+        assert best >= objective(a, np.arange(m) % min(k, m), k) - 1e-6
+        for w in range(m):
+            for c in range(min(k, m)):
+                other = own.copy()
+                other[w] = c
+                assert objective(a, other, k) <= best + 1e-6
 
 
 def test_exchange_finds_two_kinds_of_words():
@@ -151,22 +264,72 @@ def test_decontamination(spark):
     assert decontamination.clean(docs, items.limit(0)).count() == len(rows)
 
 
-def test_wand_equals_full_scoring():
+def weights_of(index):
+    weight = np.zeros((len(index.term), len(index.names)))
+    for t in range(len(index.term)):
+        own = slice(index.begin[t], index.begin[t + 1])
+        weight[t, index.items[own]] = index.weights[own]
+    return weight
+
+
+@pytest.mark.parametrize("longest", [40, 400])
+def test_wand_equals_full_scoring(longest, monkeypatch):
     rng = random.Random(6)
-    items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 40)))) for i in range(50)]
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, longest if i % 5 else 12)))) for i in range(60)]
     index = decontamination.Index(items)
-    weight = np.zeros((len(index.term), len(index.names)))
-    for t, (which, weights) in enumerate(index.lists):
-        weight[t, which] = weights
-    for least in (0.3, 0.6, 0.9):
+    weight = weights_of(index)
+    assert np.allclose(weight.sum(0), 1) and (len(index.classes) > 1) == (longest > 300 or len(index.classes) > 1)
+    for least, bounds in ((0.3, 1 << 20), (0.6, 7), (0.9, 50)):
+        monkeypatch.setattr(decontamination, "BOUNDS", bounds)
         texts = [np.array([rng.randrange(-1, len(index.term)) for _ in range(rng.randint(0, 300))], np.int64) for _ in range(30)]
-        passages = {(t, p): terms for t, p, terms in index.candidates(texts, least)}
-        for t, ids in enumerate(texts):
-            for p in range(-(-len(ids) // index.stride)):
-                terms = sorted(set(ids[p * index.stride : (p + 2) * index.stride].tolist()) - {-1})
-                full = {i for i, s in enumerate(weight[terms].sum(0)) if s >= least}
-                assert {i for i, _ in index.wand(terms, least)} == full if terms else not full
-                assert not full or passages[t, p] == terms
+        for c, own in enumerate(index.classes):
+            last = index.classes[c + 1].first if c + 1 < len(index.classes) else len(index.names)
+            passages = {(t, p): terms for t, p, terms in index.candidates(c, texts, least)}
+            for t, ids in enumerate(texts):
+                for p in range(-(-len(ids) // own.stride)):
+                    terms = sorted(set(ids[p * own.stride : (p + 2) * own.stride].tolist()) - {-1})
+                    full = {i for i, s in enumerate(weight[terms].sum(0)) if s >= least and own.first <= i < last}
+                    assert {i for i, _ in index.wand(c, terms, least)} == full if terms else not full
+                    assert not full or passages[t, p] == terms
+
+
+def test_hits_equal_plain_ones(docs, spark):
+    """Also repeated documents and items, null ids, empty and very long texts, columns with clashing names."""
+    rng = random.Random(20)
+    items = [(k, " ".join(ROWS[k][1].split()[:30]) if ROWS[k][1] else None) for k in range(20)] + [(7, "same id, other text"), (None, "la la la end la")]
+    items += [(k + 30, " ".join(rng.choice(WORDS) for _ in range(40)) + ". " + " ".join(rng.choice(WORDS) for _ in range(9))) for k in range(5)]
+    extra = [(500 + k, " ".join((x if rng.random() < 0.97 else "changed") for x in items[-1 - k][1].split()) + " tail " * k) for k in range(5)]
+    frame = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    more = docs.select("doc_id", "text", "fp").union(spark.createDataFrame([(i, t, "x") for i, t in extra * 2], "doc_id long, text string, fp string"))
+    index = decontamination.Index(items)
+    weight, want = weights_of(index), Counter()
+    for i, t in [*ROWS, *extra, *extra]:
+        words = decontamination.words_of(t or "")
+        found = set()
+        for c, own in enumerate(index.classes):
+            last = index.classes[c + 1].first if c + 1 < len(index.classes) else len(index.names)
+            for p in range(-(-len(words) // own.stride)):
+                passage = words[p * own.stride : (p + 2) * own.stride]
+                score = weight[[index.term[w] for w in set(passage) if w in index.term]].sum(0)
+                parts = [(k, decontamination.question_and_answer(index.texts[k])) for k in range(own.first, last) if score[k] >= 0.75 - 1e-9]
+                found |= {k for k, both in parts if min(decontamination.overlap(part, passage) for part in both) >= 0.8}
+        want.update((i, index.names[k], index.texts[k][:5]) for k in found)
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.hits(more, frame).collect())
+    assert got == Counter({k[:2]: 0 for k in want}) + sum((Counter({k[:2]: n}) for k, n in want.items()), Counter()) and len(got) > 20
+    clean = decontamination.clean(more, frame)
+    assert clean.columns == more.columns and Counter(r["doc_id"] for r in clean.collect()) == Counter(i for i, t in [*ROWS, *extra, *extra] if not any(k[0] == i for k in want) or not hit(index, weight, t))
+
+
+def hit(index, weight, text):
+    """Whether a single text has a confirmed hit."""
+    return bool(index.hits([text or ""])[0])
+
+
+def test_an_index_of_many_items_is_small():
+    rng = random.Random(21)
+    words = [f"w{int(rng.paretovariate(0.6)) % 60000}" for _ in range(20_000 * 40)]
+    index = decontamination.Index([(i, " ".join(words[40 * i : 40 * i + rng.randint(10, 40)])) for i in range(20_000)])
+    assert len(pickle.dumps(index)) < 50_000_000
 
 
 # --- sharding ------------------------------------------------------------------------------------
@@ -247,7 +410,35 @@ def test_simhash_fingerprints_and_components(docs, none):
     assert simhash.components_of(none).count() == 0 and simhash.deduplicated(none).count() == 0
 
 
-def test_anchors_link_all_pairs_within_three_bits(spark):
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(2000)], [(0, i) for i in range(1, 2000)], [(2000 - i, i) for i in range(1, 999)] + [(i, i + 1) for i in range(1, 500)]])
+def test_components_of_long_chains_take_few_rounds(spark, edges):
+    rounds = []
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), rounds).collect()}
+    names = {v: v for e in edges for v in e}
+
+    def find(v):
+        while names[v] != v:
+            v = names[v]
+        return v
+
+    for a, b in edges:
+        names[find(a)] = find(b)
+    assert got.keys() == names.keys() and len({(got[v], find(v)) for v in names}) == len(set(got.values())) == len({find(v) for v in names})
+    assert len(rounds) <= 15
+
+
+def test_attached_labels_by_both_ways(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(300)], "k string, x int")
+    labels = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(300)], "k string, y int")
+    assert collected(components.attached(rows, "k", labels, 10)) == collected(rows.join(labels, "k"))
+
+
+@pytest.mark.parametrize("crowd", [1 << 14, 1])
+def test_anchors_link_all_pairs_within_three_bits(spark, crowd, monkeypatch):
+    """Also with every anchor dealt tile by tile."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "LOOK", 64 if crowd > 1 else 1)
+    monkeypatch.setattr(simhash, "CROWDS", 10**6)
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     values = []
@@ -259,7 +450,7 @@ def test_anchors_link_all_pairs_within_three_bits(spark):
             values.append(v)
     values = np.unique(np.array(values, np.uint64))
     nodes = spark.createDataFrame([(bytearray(int(v).to_bytes(8, "big")),) for v in values], "fp binary")
-    root = {bytes(r["node"]): bytes(r["root"]) for r in components.components(simhash.links(simhash.replicated(nodes, simhash.Plan()), simhash.Plan())).collect()}
+    root = {bytes(r["node"]): bytes(r["root"]) for r in components.components(simhash.links(nodes, simhash.Plan())).collect()}
     group = list(range(len(values)))
     for i in range(len(values)):
         for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 3):
@@ -359,6 +550,55 @@ def test_toxicity_learns_and_rejects(spark):
     assert kept == {i for i, s in score.items() if s < 0.7}
 
 
+def test_toxicity_ratios_by_hand(spark):
+    """Continuation counts and the Kneser-Ney recursion from words to prefixes to shared counts, in plain Python."""
+    texts = [("the bad badly badlands goes badly", 1), ("bad the bad", 1), ("the good goodness goes the goodly way", 0), ("good badlands good", 0), ("", 0)]
+    counts = toxicity.continuations(spark.createDataFrame([(t.encode(), y) for t, y in texts], "text binary, toxic int"))
+    n = {}
+    for y in (0, 1):
+        pairs = {p for t, label in texts if label == y for p in zip(["", *t.split()], t.split())}
+        for _, w in pairs:
+            n.setdefault(w, [0, 0])[y] += 1
+    assert {(r["word"], r["toxic"]): r["n"] for r in counts.collect()} == {(w, y): k[y] for w, k in n.items() for y in (0, 1) if k[y]}
+    total = [sum(k[y] for k in n.values()) for y in (0, 1)]
+    cut = lambda k: {p: [sum(v[y] for w, v in n.items() if w[:k] == p) for y in (0, 1)] for p in {w[:k] for w in n}}
+    for d, model in zip((0.5, 1.5), toxicity.models_of(counts, (0.5, 1.5)), strict=True):
+        levels = [n, *map(cut, toxicity.PREFIXES)]
+        mass = [[sum(min(v[y], d) for v in level.values()) / total[y] for y in (0, 1)] for level in levels]
+
+        def p(level, key, y):
+            own = levels[level][key]
+            if level == len(levels) - 1:
+                back = (sum(own) + 0.5) / (sum(total) + 0.5 * len(levels[level]))
+            else:
+                short = key[: toxicity.PREFIXES[level]]
+                back = p(level + 1, short, y) * (sum(own) + 0.5) / (sum(levels[level + 1][short]) + 1)
+            return max(own[y] - d, 0) / total[y] + mass[level][y] * back
+
+        for level, found in enumerate([model.words, *model.prefixes]):
+            above = [np.prod([mass[k][y] for k in range(level)]) for y in (0, 1)]
+            want = {w: np.log(p(level, w, 1) * above[1] / (p(level, w, 0) * above[0])) for w, v in levels[level].items() if max(v) > d}
+            assert found.keys() == want.keys() and all(abs(found[w] - v) < 1e-9 for w, v in want.items())
+        # a word of the model, one known by its prefix, and a text as its strongest windows
+        ratios = toxicity.Ratios(model)
+        assert ratios["badness"] == next((m[key] for k, m in zip(toxicity.PREFIXES, model.prefixes, strict=True) if (key := "badness"[:k]) in m), model.other)
+        each = [ratios[w] for w in "bad good bad unseen bad way".split()]
+        x = toxicity.features_of(ratios, b"bad Good bad unseen bad way")
+        assert abs(x[0] - max(sum(each[i : i + 4]) for i in range(3)) / 4) < 1e-12 and abs(x[2] - sum(each) / 6) < 1e-12
+
+
+def test_toxicity_takes_one_text_of_a_doc_id(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, 5, 7)
+    assert rows.count() == 12 and rows.select("doc_id").distinct().count() == 12
+
+
+def test_toxicity_on_an_empty_table(spark, none):
+    model = toxicity.fitted(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.scored(none, model).count() == 0 and toxicity.accepted(none, model).count() == 0
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.accepted(docs, model).count() == len(ROWS)
@@ -367,12 +607,15 @@ def test_toxicity_without_labels(spark, docs):
 # --- Re-Pair -------------------------------------------------------------------------------------
 
 
-def test_repair_files(docs, none, monkeypatch):
+@pytest.mark.parametrize("block_ids", [repair.BLOCK_IDS, 150])
+def test_repair_files(docs, none, block_ids):
+    """Also with several blocks in a shard, and texts longer than a block."""
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
-    table = repair.save(docs, path)
+    table = repair.save(docs, path, block_ids=block_ids)
+    if block_ids == 150:
+        assert table.groupBy("shard").count().where("count > 2").count() and table.where("n_tokens > 1000").count()
     rows = sorted(repair.read(table).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [i for i, _ in order]
     ids = Counter((i, np.array(own.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in ROWS)
@@ -383,6 +626,34 @@ def test_repair_files(docs, none, monkeypatch):
     assert repair.read(repair.save(none, path)).count() == 0
 
 
+def test_repair_added_tokens():
+    """Strings of added tokens, whole, cut, beside words and in other case, as the library takes them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, own, rng = repair.Words.of(path), Tokenizer.from_file(path), random.Random(18)
+    added = [t.content for t in own.get_added_tokens_decoder().values()]
+    texts = []
+    for _ in range(400):
+        text = ""
+        for _ in range(rng.randint(0, 6)):
+            piece = rng.choice([*added, added[0][:-2], "word", "Ünï", " ", "\n", "don't", "12.", ""])
+            text += rng.choice([piece, piece.upper(), piece + " "])
+        texts.append(text)
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    ids, at = words.encode(data, offsets)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == own.encode(t, add_special_tokens=False).ids, t
+
+
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(19)
+    lengths = np.full(200, 100)
+    ids = np.concatenate([np.tile(rng.integers(2, 50, 400), 40), rng.integers(2, 9, 4000)]).astype("<u4")
+    left, right, _, seq = repair.compress(ids, lengths, 50)
+    assert (repair.expand(seq, left, right, 50) == ids).all() and len(left) > 0
+    pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))  # a few span two documents
+    assert max(pairs.values()) < repair.LEAST + 200
+
+
 def test_repair_random_access():
     rng = np.random.default_rng(12)
     lengths = rng.integers(1, 60, 300)
@@ -453,8 +724,54 @@ def test_suffix(docs, none):
     assert suffix.digests(none).count() == 0
 
 
-def test_suffix_array():
+def test_suffix_hot_lines(spark, monkeypatch):
+    """A line that very many documents hold, each with surroundings of its own, and copies of it."""
+    rng = random.Random(15)
+    line = "this line of some length stands in very many of the documents, and in full"
+    junk = lambda k: "".join(rng.choice("abcd ") for _ in range(k))
+    rows = [(i, junk(rng.randint(0, 80)) + line[rng.randint(0, 20) : len(line) - rng.randint(0, 20)] + junk(rng.randint(0, 80))) for i in range(300)]
+    rows += [(300 + i, rows[i % 4][1]) for i in range(60)] + [(7, line), (400, line * 5), (401, "x" * 500)]
+    want = [(i, sum(g), hashlib.sha256(bytes(b for b, x in zip(u, g, strict=True) if not x)).hexdigest()) for i, u, g in plain_repeats(rows, str.encode, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot, small in ((1, 400), (1000, 400), (1000, 60), (1000, 10**9)):
+        monkeypatch.setattr(suffix, "SAMPLE", 1)
+        monkeypatch.setattr(suffix, "HOT", hot)
+        monkeypatch.setattr(suffix, "SMALL", small)
+        assert collected(suffix.digests(docs).select("doc_id", "n_removed", "kept_sha256")) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("small", [0, 60, 10**9])
+def test_suffix_parts_of_a_key(small):
+    """Whatever is dealt further before it is sorted, the same bytes of the same parts are found."""
+    rng = random.Random(17)
+    for _ in range(20):
+        keys = [bytes(rng.choice(b"abcdefgh") for _ in range(suffix.KEY)) for _ in range(2)]
+        parts = {}
+        for _ in range(rng.randint(1, 60)):
+            k = rng.randrange(2)
+            left, right = (bytes(rng.choice(b"xy") for _ in range(rng.randint(0, suffix.HALF))) for _ in range(2))
+            if rng.random() < 0.7:
+                left, right = b"x" * len(left) + left[-2:], right[:2] + b"y" * len(right)
+            left, right = left[-suffix.HALF :], right[: suffix.HALF]
+            parts.setdefault((k, left + keys[k] + right), (rng.randrange(6), len(left)))
+        rows, at, joined = [], 0, b""
+        for i, ((k, part), (doc, skip)) in enumerate(parts.items()):
+            rows.append((k, i, doc, at, at + len(part), at + skip, at + skip + suffix.KEY))
+            joined += part
+            at += len(part)
+        found = np.concatenate(suffix.repeated(np.frombuffer(joined, np.uint8), np.array(rows, np.int64).T, small), axis=1)
+        got = {(p, s + i) for p, s, n in found.T.tolist() for i in range(n - suffix.WINDOW + 1)}
+        first = {}
+        windows_of = [(r, j, (r[0], joined[j : j + suffix.WINDOW])) for r in rows for j in range(r[3], r[4] - suffix.WINDOW + 1)]
+        for r, _, w in windows_of:
+            first[w] = min(first.get(w, 9), r[2])
+        assert got == {(r[1], j) for r, j, w in windows_of if r[2] > first[w]}
+
+
+def test_suffix_arrays():
     rng = random.Random(14)
-    for _ in range(1500):
-        text = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 40))] + [0]
-        assert suffix.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+    for _ in range(300):
+        texts = [[rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 40))] + [0] for _ in range(rng.randint(0, 6))]
+        begin = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        want = [int(b) + i for t, b in zip(texts, begin, strict=False) for i in sorted(range(len(t)), key=lambda i: t[i:])]
+        assert suffix.suffix_arrays(np.array([x for t in texts for x in t], np.int64), begin).tolist() == want
