@@ -4,6 +4,14 @@ Toxic documents go; of each group of near copies (similarity 0.8 on five-word sh
 with the smallest doc_id stays; passages of 50 words and more that an earlier document also holds
 are cut out; documents with a benchmark item go; what is left is encoded by byte-level BPE. A
 document without a finding passes every stage as it is.
+
+Defined cases, for all stages: a null text counts as an empty one and stays null where the row stays;
+texts without words are copies of each other, of which one stays; of copies and near copies the row with
+the smallest doc_id stays, a null doc_id only where no other is, of rows that share a doc_id the one with
+the least hash of its text, of equal rows one; rows that share a doc_id do not cut passages out of each
+other, and a null doc_id cuts none and loses none; an empty table passes through every stage empty; a
+null in any other column stays as it is; further columns, whatever their names, are passed on by all
+stages but the last.
 """
 
 from __future__ import annotations
