@@ -48,16 +48,19 @@ class Registry:
         extra = missing = wrong = None
         log = log.withColumns({"known_version": known, "_fields": fields})
         current = F.col("_fields")
+        alike: dict[tuple, list[str]] = {}  # types of equal payloads share their expressions
         for t, p in self.types.items():
+            alike.setdefault((p.version, tuple(p.fields.items()), tuple(sorted(p.steps.items()))), []).append(t)
+        for (_, _, steps), types in alike.items():
             up = F.col("_fields")
-            for version, step in sorted(p.steps.items()):
+            for version, step in steps:
                 up = F.when(F.col("payload_version") <= version, step(up)).otherwise(up)
-            current = F.when(F.col("event_type") == t, up).otherwise(current)
+            current = F.when(F.col("event_type").isin(types), up).otherwise(current)
         log = log.withColumn("_fields", F.when(F.col("payload_version") <= F.col("known_version"), current).otherwise(F.col("_fields")))
         names = F.map_keys("_fields")
-        for t, p in self.types.items():
-            here, own = F.col("event_type") == t, F.array(*map(F.lit, p.fields))
-            bad = F.array_compact(F.array(*[F.when(~_fits(F.element_at("_fields", n), kind), F.lit(n)) for n, kind in p.fields.items()]))
+        for (_, fields, _), types in alike.items():
+            here, own = F.col("event_type").isin(types), F.array(*[F.lit(n) for n, _ in fields])
+            bad = F.array_compact(F.array(*[F.when(~_fits(F.element_at("_fields", n), kind), F.lit(n)) for n, kind in fields]))
             extra = F.when(here, F.array_except(names, own)) if extra is None else extra.when(here, F.array_except(names, own))
             missing = F.when(here, F.array_except(own, names)) if missing is None else missing.when(here, F.array_except(own, names))
             wrong = F.when(here, bad) if wrong is None else wrong.when(here, bad)
@@ -87,9 +90,9 @@ def with_default(name: str, json: str) -> Callable[[Column], Column]:
 
 def counted_registry() -> Registry:
     """The payloads of the event stream: ``k`` in version 1, ``k`` and ``count`` in version 2."""
-    registry = Registry()
+    registry, up = Registry(), with_default("count", "0")
     for t in ("signup", "view", "purchase", "error"):
-        registry.register(t, Payload(2, {"k": "bigint", "count": "bigint"}, {1: with_default("count", "0")}))
+        registry.register(t, Payload(2, {"k": "bigint", "count": "bigint"}, {1: up}))
     return registry
 
 
