@@ -74,6 +74,25 @@ def test_run_is_the_stages(spark, planted):
     assert corpus_pipeline.run(spark, planted[0]).count() > 300
 
 
+def test_empty_table(spark, planted, tmp_path):
+    folder = str(tmp_path)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{planted[0]}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_odd_rows(spark, planted):
+    """Nulls in every column, empty texts, repeated rows and ids, ties, columns with clashing names."""
+    rows = [(1, "", None, None, 0, 1), (1, None, "en", "s", None, 2), (2, " ", "en", None, 1, 3), (None, None, None, None, None, None), (None, "a few words", "en", "s", 11, 4), (None, "a few words", "en", "s", 11, 4), (3, "a few words", "en", "s", 11, 5), (3, "other words under the same id", "en", "s", 30, 6), (4, "w " * 30000, "en", "s", 60000, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, root long").withColumns({"node": F.lit("n"), "spans": F.lit(2), "_x": F.lit(None).cast("string")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, planted[0])
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "root", "node", "spans", "_x"]
+    kept = sorted((r["doc_id"], r["root"]) for r in docs.collect())
+    assert [k[0] for k in kept] == [1, 3, 3, 4] and kept[0][1] in (1, 2) and {k[1] for k in kept[1:3]} == {5, 6}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, planted[0]).count() == 4
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
