@@ -9,6 +9,9 @@ window. What an earlier document also holds is marked; overlapping windows make
 all of them at least a window long. No pair of documents is ever listed: work is linear in the
 anchors, and a group of copies of any size is one class.
 
+Documents are matched by 128 bits: the hashes of an anchor and its context, or of a window and of its
+halves. 2**43 windows, some 100 TB, leave a chance of 2**-43 that two different ones are taken for equal.
+
 Defined cases: a null text has no words; a text shorter than a window keeps all; a null doc_id is
 neither earlier nor later than another and keeps all; rows that share a doc_id are not earlier
 than each other; an empty table gives an empty result.
@@ -109,29 +112,31 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def held_earlier(rows: DataFrame) -> DataFrame:
-    """(doc_id, context): of (context, doc_id) rows those whose context an earlier document has."""
+    """(doc_id, context): of (context, check, doc_id) rows those whose context and check an earlier
+    document has."""
 
     def each(columns: list[np.ndarray], new: np.ndarray, state: dict) -> pa.RecordBatch:
-        context, doc = columns
-        begins = np.flatnonzero(new)
-        firsts = doc[begins]
-        if not new[0]:
+        context, check, doc = columns
+        fresh = new | np.append(new[0] or check[0] != state["check"], check[1:] != check[:-1])
+        firsts = doc[fresh]
+        if not fresh[0]:
             firsts = np.append(state["first"], firsts)
-        first = firsts[np.cumsum(new) - int(new[0])]
-        state["first"] = first[-1]
+        first = firsts[np.cumsum(fresh) - int(fresh[0])]
+        state.update(first=first[-1], check=check[-1])
         take = doc > first
         return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(context[take])], names=["doc_id", "context"])
 
-    return by_key(rows, "context", ["doc_id"], each, "doc_id long, context long")
+    return by_key(rows, "context", ["check", "doc_id"], each, "doc_id long, context long")
 
 
 def extended(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(context, doc_id): hashes of the windows that hold one of the row's ``contexts``."""
+    """(context, check, doc_id): hashes of the windows that hold one of the row's ``contexts``, and
+    further ones of their halves."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, lists = numbers(batch, "doc_id"), batch.column(batch.schema.get_field_index("contexts"))
-            hashed, docs_of = [], []
+            found = []
             for row, end, data, offsets in windows.pieces(batch, "text"):
                 w, _, _ = _windows(data, offsets, window, seed)
                 at, _ = w.anchors()
@@ -143,14 +148,16 @@ def extended(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     marks = np.zeros(w.first[i + 1] - w.first[i] + 1, np.int64)
                     np.add.at(marks, start[s][wanted] - w.first[i], 1)
                     np.add.at(marks, stop[s][wanted] - window + 1 - w.first[i], -1)
-                    hashed.append(np.unique(w.at(w.first[i] + np.flatnonzero(np.cumsum(marks)[:-1]))))
-                    docs_of.append(np.full(len(hashed[-1]), ids[row + i], np.int64))
-            out = np.concatenate(hashed).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.concatenate(docs_of))], names=["context", "doc_id"])
+                    p = w.first[i] + np.flatnonzero(np.cumsum(marks)[:-1])
+                    whole, one = np.unique(w.at(p), return_index=True)
+                    p, half = p[one], window // 2
+                    check = windows.mix(windows.hashes(w.sums, p, p + half)) ^ windows.hashes(w.sums, p + half, p + window)
+                    found.append((whole.view(np.int64), check.view(np.int64), np.full(len(p), ids[row + i], np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["context", "check", "doc_id"])
 
         return each
 
-    return over_rows(docs, make, "context long, doc_id long")
+    return over_rows(docs, make, "context long, check long, doc_id long")
 
 
 def ranges_in(doc: np.ndarray, n: int) -> np.ndarray:
