@@ -261,6 +261,24 @@ def large_group(home: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nd
     return np.concatenate(left), np.concatenate(right)
 
 
+def spanning(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between rows those that join fingerprints not joined before, least fingerprints first:
+    fewer than there are fingerprints, however many links a crowd has."""
+    _, row, name = np.unique(fps, axis=0, return_index=True, return_inverse=True)
+    name = name.reshape(-1)
+    pairs = np.unique(np.sort(np.stack([name[left], name[right]]), axis=0), axis=1)
+    root, take = list(range(len(row))), []
+    for k, (x, y) in enumerate(pairs.T.tolist()):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            take.append(k)
+    return row[pairs[0, take]], row[pairs[1, take]]
+
+
 def crowded(nodes: DataFrame, plan: Plan) -> DataFrame:
     """(anchor, tiles) of anchors with very many members, by a sample of the fingerprints. It decides how
     members are dealt to tasks, not what is found."""
@@ -300,9 +318,8 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
                 i, j = large_group(home[b : b + n], fp[b : b + n], plan.distance)
                 left.append(b + i)
                 right.append(b + j)
-            a, b = fp[np.concatenate(left)], fp[np.concatenate(right)]
-            differ = (a != b).any(1)
-            out = [pa.array([x.tobytes() for x in v[differ].astype(">u8")], pa.binary()) for v in (a, b)]
+            a, b = spanning(fp, np.concatenate(left), np.concatenate(right))
+            out = [pa.array([x.tobytes() for x in fp[v].astype(">u8")], pa.binary()) for v in (a, b)]
             return pa.RecordBatch.from_arrays(out, names=["a", "b"])
 
         keys, homes, fps = [], [], []
