@@ -60,8 +60,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.final = np.zeros(self.size, bool)  # tokens that end a word
         self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -142,7 +141,8 @@ class Words:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes and offsets, as in an Arrow array) and where each text's begin."""
         raw = data.tobytes()
-        hits = [m.start() for m in self.special.finditer(raw)] if self.special else []
+        low = raw.lower()
+        hits = [m.start() for t in self.added if t in low for m in re.finditer(re.escape(t), low)]
         rows = np.unique(np.searchsorted(offsets, hits, "right") - 1) if hits else np.empty(0, np.int64)
         if not len(rows):
             return self._encode(data, offsets)
