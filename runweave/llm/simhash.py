@@ -39,6 +39,8 @@ SEED = 42
 #: Members of an anchor that are compared at once; of a crowded anchor those that a task holds, such anchors
 #: at most, and a look at one in so many fingerprints that finds them.
 TILE, CROWD, CROWDS, LOOK = 2048, 1 << 14, 1000, 64
+#: Members of a component that a task compares with others at once.
+MEMBERS = 512
 #: Documents of the sample for frequent shingles, and those at most; rows of a task's prefixes and pairs of them at once.
 SAMPLE, FREQUENT, ROWS, AT_ONCE = 5_000, 200_000, 1 << 16, 1 << 20
 
@@ -377,9 +379,9 @@ def similar(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"))
     one = written(nodes.groupBy("fp").agg(F.min("node").alias("one")), "prints")
     met = links(one.select("fp"), plan)
-    met = met.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select("x", "y")
-    same = nodes.join(one, "fp").where("node <> one").select("one", "node")
-    close = written(confirmed(met.union(same).toDF("a", "b"), prints, docs, plan), "close")
+    met = met.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select("y", "x")
+    same = nodes.join(one, "fp").where("node <> one").select("node", "one")
+    close = written(confirmed(met.union(same).toDF("a", "b").withColumn("root", F.col("b")), prints, docs, plan), "close")
     more = confirmed(sharing(docs, components(close), plan), prints, docs, plan)
     roots = components(close.union(more)).select("node", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept")
@@ -422,38 +424,64 @@ def shingled(docs: DataFrame, plan: Plan) -> DataFrame:
     return over_rows(rows, make, "doc_id long, text_hash long, node long, fp binary")
 
 
-def confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Of pairs of nodes (a, b) those whose sets have a similarity of 0.8 and more, by the text of
-    one document of each node. Texts travel compressed."""
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    lowest = F.lit(-(1 << 63))  # a null id
-    one = F.min(F.struct(F.coalesce("doc_id", lowest).alias("id"), F.col("text_hash").alias("hash"))).alias("one")
-    who = prints.groupBy("node").agg(one).join(asked, "node", "left_semi").select("node", "one.id", "one.hash")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id"), text_hash().alias("hash"), text_bytes())
-    texts = written(packed(rows).join(who, ["id", "hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    def make():
-        opened = zstandard.ZstdDecompressor()
+def confirmed(asked: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of nodes (a, b) whose sets have a similarity of 0.8 and more, by the text of one document of
+    each node: of ``asked`` (a, b, root) each a is compared with every b that is asked for of its root,
+    tile by tile, and gives one pair a tile.
 
-        def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-            return shingle_sets(pa.RecordBatch.from_arrays([pa.array([opened.decompress(t) for t in texts], pa.large_binary())], names=["text"]), "text", plan.shingle)
+    No row is made for a pair: an a travels to the tiles of a root, a b to one of them. Texts travel
+    compressed."""
+    asked = written(asked.where("a <> b").select("a", "b", "root").distinct(), "asked")
+    members = asked.select(F.col("b").alias("node"), "root").distinct()
+    tiles = members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("tiles"))
+    one = F.col("tiles") > 1
+    members = members.join(tiles, "root").select("node", "root", F.when(one, F.pmod(F.xxhash64("node"), F.col("tiles"))).otherwise(F.lit(0)).cast("int").alias("tile"), F.lit(True).alias("held"))
+    others = asked.select(F.col("a").alias("node"), "root").distinct().join(tiles, "root")
+    others = others.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(False).alias("held"))
+    dealt = written(members.union(others), "dealt")
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, x, y = columns(batch, "a", "x", "y")
-            first = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]  # rows come in runs of one a
-            take, own, run = [], sets([x[i] for i in first]), 0
-            for i, other in enumerate(sets(y)):
-                if run < len(first) and first[run] == i:
-                    mine, run = next(own), run + 1
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                take.append(5 * both >= 4 * (len(mine) + len(other) - both))
-            return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(take, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-        return each
+    lowest = F.lit(-(1 << 63))  # a null id
+    first = F.min(F.struct(F.coalesce("doc_id", lowest).alias("id"), F.col("text_hash").alias("hash"))).alias("one")
+    who = prints.groupBy("node").agg(first).join(dealt.select("node").distinct(), "node", "left_semi").select("node", "one.id", "one.hash")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id"), text_hash().alias("hash"), text_bytes())
+    texts = packed(rows).join(who, ["id", "hash"]).select("node", "text").dropDuplicates(["node"])
 
-    both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return over_rows(both, make, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, key = zstandard.ZstdDecompressor(), None
+        nodes: list[int] = []  # the open tile's members, their sets' sizes, and all they hold, sorted
+        sets: list[np.ndarray] = []
+        index = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, roots, tiles, held, texts = columns(batch, "node", "root", "tile", "held", "text")
+            plain = pa.RecordBatch.from_arrays([pa.array([opened.decompress(t) for t in texts], pa.large_binary())], names=["text"])
+            out = []
+            for node, root, tile, member, own in zip(names, roots, tiles, held, shingle_sets(plain, "text", plan.shingle), strict=True):
+                if (root, tile) != key:
+                    key, nodes, sets, index = (root, tile), [], [], None
+                if member:
+                    nodes.append(node)
+                    sets.append(own)
+                    continue
+                if index is None:
+                    every = np.concatenate(sets)
+                    order = np.argsort(every, kind="stable")
+                    size = np.array([len(x) for x in sets])
+                    index = every[order], np.repeat(np.arange(len(sets)), size)[order], size
+                every, of, size = index
+                low, high = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+                hit = np.flatnonzero(high > low)
+                n = (high - low)[hit]
+                at = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(of[at], minlength=len(size))
+                near = np.flatnonzero((5 * both >= 4 * (len(own) + size - both)) & (np.array(nodes) != node))
+                if len(near):
+                    out.append((node, nodes[near[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    rows = dealt.join(texts, "node").select("node", "root", "tile", "held", "text")
+    return rows.repartition("root", "tile").sortWithinPartitions("root", "tile", F.desc("held")).mapInArrow(run, "a long, b long")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -497,7 +525,8 @@ def frequent(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs of nodes (a, b) of different ``roots`` (node, root), among them all that are similar."""
+    """Pairs of nodes (a, b) of different ``roots`` (node, root), among them all that are similar, and the
+    root of b, whose component is not the smaller one."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, plan))
 
     def make_prefixes():
@@ -520,17 +549,18 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
         return each
 
     prefixes = over_rows(docs.select(text_bytes()), make_prefixes, "node long, size long, prefix binary").dropDuplicates(["node"])
-    prefixes = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
+    crowds = roots.join(roots.groupBy("root").agg(F.count("*").alias("crowd")), "root")
+    prefixes = prefixes.join(crowds, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "prefix", F.coalesce("crowd", F.lit(1)).cast("int").alias("crowd"))
 
     def flat(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, root, size = (batch.column(i).to_numpy() for i in range(3))
+        node, root, size, _, crowd = (batch.column(i).to_numpy(zero_copy_only=False) if i != 3 else None for i in range(5))
         keys = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
         row = np.repeat(np.arange(len(node)), prefix_length(size))
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(v[row]) for v in (root, node, size))], names=["key", "root", "node", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(v[row]) for v in (root, node, size, crowd))], names=["key", "root", "node", "size", "crowd"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key, root, node, size = rows
+            key, root, node, size, many_of = rows
             place = np.arange(len(key))
             group = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             crowd = np.append(np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, len(key))
@@ -545,9 +575,9 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
                 take = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
                 i, j = i[take], j[take]
                 if len(i):
-                    low = node[i] < node[j]
+                    low = (many_of[i] < many_of[j]) | (many_of[i] == many_of[j]) & (node[i] < node[j])
                     i, j = np.where(low, i, j), np.where(low, j, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], size[i], size[j])], names=["a", "b", "size_a", "size_b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], root[j], size[i], size[j])], names=["a", "b", "root", "size_a", "size_b"])
                 at = to
 
         held, rows = [], 0
@@ -564,11 +594,11 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
         if held:
             yield from pairs(np.concatenate(held, axis=1))
 
-    rows = over_rows(prefixes, lambda: flat, "key long, root long, node long, size long")
-    found = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "a long, b long, size_a long, size_b long")
-    found = found.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("common"))
+    rows = over_rows(prefixes, lambda: flat, "key long, root long, node long, size long, crowd int")
+    found = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "a long, b long, root long, size_a long, size_b long")
+    found = found.groupBy("a", "b", "root", "size_a", "size_b").agg(F.count("*").alias("common"))
     # of the set whose prefix ends first all common members of the prefix are counted, and others are not in the other set
     shorter, longer = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     least = F.expr("(4 * (size_a + size_b) + 8) div 9")
     first = shorter - F.floor((4 * shorter + 4) / 5) + 1
-    return found.where(first - F.col("common") <= longer - least).select("a", "b")
+    return found.where(first - F.col("common") <= longer - least).select("a", "b", "root")
