@@ -381,8 +381,9 @@ def similar(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     met = links(one.select("fp"), plan)
     met = met.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select("y", "x")
     same = nodes.join(one, "fp").where("node <> one").select("node", "one")
-    close = written(confirmed(met.union(same).toDF("a", "b").withColumn("root", F.col("b")), prints, docs, plan), "close")
-    more = confirmed(sharing(docs, components(close), plan), prints, docs, plan)
+    near = written(met.union(same).toDF("a", "root").where("a <> root").distinct(), "near")
+    close = written(confirmed(near, near.select(F.col("root").alias("b"), "root").distinct(), prints, docs, plan), "close")
+    more = confirmed(*sharing(docs, components(close), plan), prints, docs, plan)
     roots = components(close.union(more)).select("node", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("kept")
     nodes = prints.groupBy("node").agg(first).join(roots, "node", "left")  # copies are one row by then
@@ -424,19 +425,19 @@ def shingled(docs: DataFrame, plan: Plan) -> DataFrame:
     return over_rows(rows, make, "doc_id long, text_hash long, node long, fp binary")
 
 
-def confirmed(asked: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+def confirmed(asked: DataFrame, members: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Pairs of nodes (a, b) whose sets have a similarity of 0.8 and more, by the text of one document of
-    each node: of ``asked`` (a, b, root) each a is compared with every b that is asked for of its root,
+    each node: each a of ``asked`` (a, root) is compared with every b of its root in ``members`` (b, root),
     tile by tile, and gives one pair a tile.
 
     No row is made for a pair: an a travels to the tiles of a root, a b to one of them. Texts travel
     compressed."""
-    asked = written(asked.where("a <> b").select("a", "b", "root").distinct(), "asked")
-    members = asked.select(F.col("b").alias("node"), "root").distinct()
+    asked = written(asked, "asked")
+    members = written(members.select(F.col("b").alias("node"), "root"), "members")
     tiles = members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("tiles"))
     one = F.col("tiles") > 1
     members = members.join(tiles, "root").select("node", "root", F.when(one, F.pmod(F.xxhash64("node"), F.col("tiles"))).otherwise(F.lit(0)).cast("int").alias("tile"), F.lit(True).alias("held"))
-    others = asked.select(F.col("a").alias("node"), "root").distinct().join(tiles, "root")
+    others = asked.select(F.col("a").alias("node"), "root").join(tiles, "root")
     others = others.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(False).alias("held"))
     dealt = written(members.union(others), "dealt")
 
@@ -524,9 +525,10 @@ def frequent(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return unit[order], n[order]
 
 
-def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs of nodes (a, b) of different ``roots`` (node, root), among them all that are similar, and the
-    root of b, whose component is not the smaller one."""
+def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """(a, root): nodes and components of ``roots`` (node, root) that may hold a similar node, and (b, root):
+    all nodes of those components. A node without a root is a component of its own."""
+    roots = written(roots, "roots")
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, plan))
 
     def make_prefixes():
@@ -560,24 +562,33 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Each node with each other component of its key, not smaller than its own: one row, however
+            many members that has, and the least number of keys that one of them would share with it."""
             key, root, node, size, many_of = rows
-            place = np.arange(len(key))
-            group = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-            crowd = np.append(np.flatnonzero((key[1:] != key[:-1]) | (root[1:] != root[:-1])) + 1, len(key))
-            end, begin = group[np.searchsorted(group, place, "right")], crowd[np.searchsorted(crowd, place, "right")]
-            total = np.cumsum(end - begin)
+            new = np.append(True, key[1:] != key[:-1])
+            fresh = new | np.append(True, root[1:] != root[:-1])
+            first = np.flatnonzero(fresh)  # of each component in each key
+            of_key, mass, count = np.cumsum(new)[first], many_of[first], np.diff(np.append(first, len(key)))
+            least, most = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first)
+            place = np.arange(len(first))
+            end = np.searchsorted(of_key, of_key, "right")
+            total = np.cumsum(end - place - 1)
             at = 0
-            while at < len(key):  # some rows at a time: what is listed at once is bounded
+            while at < len(first):  # some at a time: what is listed at once is bounded
                 to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
-                many = (end - begin)[at:to]
-                i = np.repeat(place[at:to], many)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + begin[i]
-                take = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
-                i, j = i[take], j[take]
-                if len(i):
-                    low = (many_of[i] < many_of[j]) | (many_of[i] == many_of[j]) & (node[i] < node[j])
-                    i, j = np.where(low, i, j), np.where(low, j, i)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], root[j], size[i], size[j])], names=["a", "b", "root", "size_a", "size_b"])
+                n = end[at:to] - place[at:to] - 1
+                i = np.repeat(place[at:to], n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+                low = (mass[i] < mass[j]) | (mass[i] == mass[j]) & (root[first[i]] < root[first[j]])
+                i, j = np.where(low, i, j), np.where(low, j, i)
+                row = np.repeat(first[i] - (np.cumsum(count[i]) - count[i]), count[i]) + np.arange(int(count[i].sum()))
+                j = np.repeat(j, count[i])
+                own = size[row]
+                a, z = np.maximum(least[j], (4 * own + 4) // 5), np.minimum(most[j], 5 * own // 4)
+                need = np.minimum(shared_least(own, a), shared_least(own, z))  # it is least at an end
+                take = a <= z
+                if take.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(v[take]) for v in (node[row], root[first[j]], need)], names=["a", "root", "need"])
                 at = to
 
         held, rows = [], 0
@@ -595,10 +606,16 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> DataFrame:
             yield from pairs(np.concatenate(held, axis=1))
 
     rows = over_rows(prefixes, lambda: flat, "key long, root long, node long, size long, crowd int")
-    found = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "a long, b long, root long, size_a long, size_b long")
-    found = found.groupBy("a", "b", "root", "size_a", "size_b").agg(F.count("*").alias("common"))
-    # of the set whose prefix ends first all common members of the prefix are counted, and others are not in the other set
-    shorter, longer = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    least = F.expr("(4 * (size_a + size_b) + 8) div 9")
-    first = shorter - F.floor((4 * shorter + 4) / 5) + 1
-    return found.where(first - F.col("common") <= longer - least).select("a", "b", "root")
+    found = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(run, "a long, root long, need long")
+    found = found.groupBy("a", "root").agg(F.count("*").alias("common"), F.min("need").alias("need"))
+    found = written(found.where("common >= need").select("a", "root"), "found")
+    members = roots.select(F.col("node").alias("b"), "root")
+    alone = found.select("root").distinct().join(members, "root", "left_anti").select(F.col("root").alias("b"), "root")
+    return found, members.join(found.select("root").distinct(), "root", "left_semi").select("b", "root").union(alone)
+
+
+def shared_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members the prefixes of similar sets of these sizes share at least: of the set whose prefix
+    ends first, all members of it that the other set has are in the other's prefix too."""
+    shorter, longer = np.minimum(a, b), np.maximum(a, b)
+    return prefix_length(shorter) - (longer - (4 * (a + b) + 8) // 9)
