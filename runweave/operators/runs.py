@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runweave.sources.staging import staged
+
 LIFECYCLE = ("run.created", "run.started", "run.succeeded", "run.failed", "run.cancelled")
 TERMINAL = ("run.succeeded", "run.failed", "run.cancelled")
 
@@ -25,12 +27,15 @@ FIELDS = {
 
 
 def ordinals(log: DataFrame) -> DataFrame:
-    """Per run: s0 and t0, seq and type of its first event; s1..s4 and t1..t4 of its first lifecycle
-    events, with what they carry as e1..e3; last_seq of any event.
-
-    First and last event are added up in tasks; only the first four lifecycle events of a run, cut
-    in tasks too, are sorted. Events that repeat a seq follow each other by type."""
-    ends = log.groupBy("run_id").agg(F.min(F.struct("seq", "event_type")).alias("first"), F.max("seq").alias("last_seq"))
+    """Per run: s0, seq of its first event, and made, whether that is a creation; s1..s4 and t1..t4 of its first
+    lifecycle events, with what they carry as e1..e3; last_seq of any event.
+
+    First and last event are added up in tasks, as numbers, so nothing is sorted for them; only the first four
+    lifecycle events of a run, cut in tasks too, are sorted. Events that repeat a seq follow each other by type."""
+    created, at_type = "run.created", lambda when: F.min(F.when(when, F.col("seq")))
+    ends = log.groupBy("run_id").agg(F.min("seq").alias("s0"), at_type(F.col("event_type") == created).alias("c0"), at_type(F.col("event_type") < created).alias("b0"), F.max("seq").alias("last_seq"))
+    made = F.coalesce(F.col("c0") == F.col("s0"), F.lit(False)) & F.coalesce(F.col("b0") > F.col("s0"), F.lit(True))
+    ends = ends.select("run_id", "s0", made.alias("made"), "last_seq")
     carried = sorted({c for _, c in FIELDS.values() if c in log.columns})
     life = log.where(F.col("event_type").isin(*LIFECYCLE)).select("run_id", "seq", "event_type", *carried)
     w = Window.partitionBy("run_id").orderBy("seq", "event_type")
@@ -38,7 +43,7 @@ def ordinals(log: DataFrame) -> DataFrame:
     at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     pick = [at(k, c).alias(f"{n}{k}") for k in range(1, 5) for n, c in (("s", "seq"), ("t", "event_type"))]
     pick += [F.first(F.when(F.col("k") == k, F.struct(*carried)), ignorenulls=True).alias(f"e{k}") for k in range(1, 4) if carried]
-    return ends.join(life.groupBy("run_id").agg(*pick), "run_id", "left").select("*", F.col("first.seq").alias("s0"), F.col("first.event_type").alias("t0"))
+    return ends.join(life.groupBy("run_id").agg(*pick), "run_id", "left")
 
 
 def folded(log: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def folded(log: DataFrame) -> DataFrame:
     The state is the one before the first illegal event: one that is no step from the state so far, or
     repeats its seq. A run whose first event is not a creation has none (null status)."""
     o = ordinals(log)
-    made = F.col("t0") == "run.created"
+    made = F.col("made")
     two = made & F.col("t2").isin("run.started", "run.cancelled") & (F.col("s2") > F.col("s1"))
     three = two & (F.col("t2") == "run.started") & F.col("t3").isin(*TERMINAL) & (F.col("s3") > F.col("s2"))
     two, three = F.coalesce(two, F.lit(False)), F.coalesce(three, F.lit(False))
@@ -87,8 +92,9 @@ def resumed(snapshots: DataFrame, log: DataFrame) -> DataFrame:
     A snapshot stands for the legal lifecycle events that lead to it, and those and the tail fold as a
     whole log does, so an illegal tail is refused in the same way."""
     log = log.select("run_id", "seq", "event_type")
-    seqs = snapshots.select("run_id", "at_seq", "status", F.col("last_lifecycle_seq").alias("at"))
-    tail = log.join(seqs.select("run_id", "at_seq"), "run_id", "left").where("at_seq is null or seq > at_seq").select("run_id", "seq", "event_type")
+    seqs = staged(snapshots.select("run_id", "at_seq", "status", F.col("last_lifecycle_seq").alias("at")))  # read six times
+    # one row a run is hashed, so the log is not sorted for the join
+    tail = log.join(seqs.select("run_id", "at_seq").hint("shuffle_hash"), "run_id", "left").where("at_seq is null or seq > at_seq").select("run_id", "seq", "event_type")
     led = F.when(F.col("status") == "pending", F.array(F.lit("run.created"))).when(F.col("status") == "running", F.array(F.lit("run.created"), F.lit("run.started")))
     led = led.when(F.col("status") == "cancelled", F.array(F.lit("run.created"), F.lit("run.cancelled"))).otherwise(F.array(F.lit("run.created"), F.lit("run.started"), F.concat(F.lit("run."), F.col("status"))))
     before = seqs.select("run_id", "at", F.size(led).alias("n"), F.posexplode(led).alias("i", "event_type")).select("run_id", (F.col("at") - F.col("n") + 1 + F.col("i")).cast("long").alias("seq"), "event_type")

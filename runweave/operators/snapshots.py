@@ -19,11 +19,13 @@ def due(heads: DataFrame, stored: DataFrame, every: int) -> DataFrame:
 
 def taken(log: DataFrame, every: int) -> DataFrame:
     """(run_id, at_seq, status, last_lifecycle_seq): what the policy, asked after each event of a log with
-    contiguous seqs, would have saved. One window over a run's events carries the state along."""
+    contiguous seqs, would have saved. One window carries the state along, over a run's lifecycle events and
+    the seqs at which it is saved; the others are left out before the sort."""
     if every < 1:
         raise ValueError("every must be at least 1")
     w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     life = F.when(F.col("event_type").isin(*LIFECYCLE), F.struct("event_type", "seq"))
+    log = log.where(F.col("event_type").isin(*LIFECYCLE) | (F.col("seq") % every == 0))
     seen = log.select("run_id", "seq", F.last(life, ignorenulls=True).over(w).alias("at")).where(F.col("seq") % every == 0)
     name = F.when(F.col("at.event_type") == "run.created", "pending").when(F.col("at.event_type") == "run.started", "running").otherwise(F.regexp_replace("at.event_type", "run\\.", ""))
     return seen.select("run_id", F.col("seq").alias("at_seq"), name.alias("status"), F.col("at.seq").alias("last_lifecycle_seq"))
