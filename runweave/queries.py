@@ -125,7 +125,7 @@ def _stream(spark, d):
 
 @query
 def stream_tail(spark, d):
-    rows = live.drained(live.follow(spark, *_stream(spark, d), after_seq=3))
+    rows = live.drained(live.follow(spark, *_stream(spark, d), after_seq=3), once=["run_id", "seq"])
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("seq").alias("sum_seq"))
 
 

@@ -16,19 +16,34 @@ def stored(log: DataFrame) -> str:
 
 
 def follow(spark: SparkSession, path: str, schema, after_seq: int = 0) -> DataFrame:
-    """The stream of events after ``after_seq``; an event that comes twice passes once. State for
-    that is kept as long as the watermark says, a day of event time."""
-    events = spark.readStream.schema(schema).parquet(path).where(F.col("seq") > after_seq)
-    return events.withWatermark("occurred_at", "1 day").dropDuplicatesWithinWatermark(["run_id", "seq"])
+    """The stream of events after ``after_seq``; ``drained`` lets one that comes twice pass once."""
+    return spark.readStream.schema(schema).parquet(path).where(F.col("seq") > after_seq)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def unseen(batch: DataFrame, earlier: DataFrame | None, keys: list[str], at: str) -> DataFrame:
+    """The rows of a batch, one for each key, whose key no row ``earlier`` has that lies a day at most from
+    the batch's event time ``at``. No state of the stream is kept for that: keys are sorted, which spills,
+    and of what was written only those days are read. A late event passes."""
+    once = batch.repartition(*keys).dropDuplicates(keys)
+    if earlier is None:
+        return once
+    first, last = batch.agg(F.min(at), F.max(at)).first()
+    day = F.expr("interval 1 day")
+    near = earlier.where(F.col(at).isNull() | F.col(at).between(F.lit(first) - day, F.lit(last) + day)) if first is not None else earlier
+    return once.join(near.select(*keys), keys, "left_anti")
+
+
+def drained(stream: DataFrame, mode: str = "append", once: list[str] | None = None, at: str = "occurred_at") -> DataFrame:
     """Run a stream over what is there and return all that it wrote, each batch in a folder of its own
-    that a repeated batch overwrites; ``mode`` is the stream's output mode."""
+    that a repeated batch overwrites; ``mode`` is the stream's output mode. With keys in ``once``, rows
+    whose keys were written before, in event time ``at`` within a day, are left out."""
     spark = stream.sparkSession
     out = shared_dir(spark)
 
     def write(batch: DataFrame, number: int) -> None:
+        if once:
+            earlier = [f"{out}/batch={i}" for i in range(number)]  # without what a failed run of this batch left
+            batch = unseen(batch, spark.read.schema(stream.schema).parquet(*earlier) if earlier else None, once, at)
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).foreachBatch(write).start()
