@@ -8,6 +8,7 @@ one task: levels take as many rounds as the longest path, reachability their log
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +50,12 @@ def nodes(log: DataFrame) -> DataFrame:
 
 
 def edges(log: DataFrame) -> DataFrame:
-    """run_id, from_node, to_node, edge_type, seq: declared dependencies and edges added later."""
-    declared = log.where("event_type = 'node.added'").select("run_id", F.explode("dependencies").alias("from_node"), F.col("node_id").alias("to_node"), F.lit(DEPENDENCY).alias("edge_type"), "seq")
-    return declared.union(log.where("event_type = 'edge.added'").select("run_id", "from_node", "to_node", "edge_type", "seq"))
+    """run_id, from_node, to_node, edge_type, seq: declared dependencies and edges added later, in one pass of the log."""
+    edge = lambda a, b, kind: F.struct(a.alias("from_node"), b.alias("to_node"), kind.alias("edge_type"))
+    declared = F.transform("dependencies", lambda x: edge(x, F.col("node_id"), F.lit(DEPENDENCY)))
+    added = F.array(edge(F.col("from_node"), F.col("to_node"), F.col("edge_type")))
+    every = F.when(F.col("event_type") == "node.added", declared).when(F.col("event_type") == "edge.added", added)
+    return log.where("event_type in ('node.added', 'edge.added')").select("run_id", "seq", F.explode(every).alias("e")).select("run_id", "e.from_node", "e.to_node", "e.edge_type", "seq")
 
 
 def dependencies(edges: DataFrame) -> DataFrame:
@@ -126,36 +130,46 @@ def levels(log: DataFrame) -> DataFrame:
 
 
 def reachable(log: DataFrame) -> DataFrame:
-    """run_id, from_node, to_node: to_node can be reached from from_node along dependencies. Each
-    round joins the ways known so far, so their length doubles."""
-    ways = staged(dependencies(edges(log)))
-    n = ways.count()
+    """run_id, from_node, to_node: to_node can be reached from from_node along dependencies.
+
+    Each round goes on from the ways that the last one found, along all known: the first half of a shortest way
+    was found in the last round, so lengths double, and a round deals what is new and what is known, not all
+    known ways three times."""
+    found, known, k = staged(dependencies(edges(log))), None, 0
     while True:
-        on = ways.select(F.col("run_id").alias("r"), F.col("from_node").alias("via"), F.col("to_node").alias("end"))
-        longer = ways.join(on, (F.col("run_id") == F.col("r")) & (F.col("to_node") == F.col("via"))).select("run_id", "from_node", F.col("end").alias("to_node"))
-        ways = staged(ways.union(longer).distinct())
-        before, n = n, ways.count()
-        if n == before:
-            return ways
+        known = found.withColumn("k", F.lit(0)) if known is None else known
+        on = known.select(F.col("run_id").alias("r"), F.col("from_node").alias("via"), F.col("to_node").alias("end"))
+        longer = found.join(on, (F.col("run_id") == F.col("r")) & (F.col("to_node") == F.col("via"))).select("run_id", "from_node", F.col("end").alias("to_node"))
+        k += 1
+        known = staged(known.union(longer.withColumn("k", F.lit(k))).groupBy("run_id", "from_node", "to_node").agg(F.min("k").alias("k")))
+        found = known.where(F.col("k") == k).drop("k")
+        if found.isEmpty():
+            return known.drop("k")
 
 
 def cyclic(log: DataFrame) -> DataFrame:
     """Of each run the first edge added later (run_id, seq, from_node, to_node) that closes a cycle of
     dependencies, taking the edges before it; an edge to its own node is one. Edges of other types
-    close none."""
+    close none.
+
+    All edges are dealt once, and stay so for all rounds; steps and what was seen name an edge by a number."""
     every = edges(log).where(F.col("edge_type") == DEPENDENCY)
-    waits = staged(every.select("run_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("seq").alias("made")).distinct())
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    waits = every.select("run_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("seq").alias("made")).distinct()
     asked = log.where((F.col("event_type") == "edge.added") & (F.col("edge_type") == DEPENDENCY))
-    here = staged(asked.select("run_id", "seq", "from_node", "to_node", F.col("to_node").alias("node")))
-    seen, closed = here, here.where("node = from_node")
+    asked = staged(asked.select("run_id", "seq", "from_node", "to_node", F.monotonically_increasing_id().alias("edge")))
+    waits = staged(waits).repartition(parts, "run_id", "node").persist(StorageLevel.DISK_ONLY)
+    here = asked.select("edge", "run_id", "seq", "from_node", F.col("to_node").alias("node"))
+    seen, closed = here.select("edge", "node"), here.where("node = from_node").select("edge")
     while True:
-        step = here.where("node <> from_node").join(waits, ["run_id", "node"]).where("made < seq").select("run_id", "seq", "from_node", "to_node", F.col("next").alias("node")).distinct()
-        here = staged(step.join(seen, ["run_id", "seq", "from_node", "to_node", "node"], "left_anti"))
+        step = here.where("node <> from_node").join(waits, ["run_id", "node"]).where("made < seq").select("edge", "run_id", "seq", "from_node", F.col("next").alias("node")).distinct()
+        here = staged(step.join(seen, ["edge", "node"], "left_anti"))
         if here.isEmpty():
             break
-        seen, closed = seen.union(here), closed.union(here.where("node = from_node"))
+        seen, closed = seen.union(here.select("edge", "node")), closed.union(here.where("node = from_node").select("edge"))
+    waits.unpersist()
     first = F.min(F.struct("seq", "from_node", "to_node")).alias("e")
-    return closed.groupBy("run_id").agg(first).select("run_id", "e.seq", "e.from_node", "e.to_node")
+    return asked.join(closed, "edge", "left_semi").groupBy("run_id").agg(first).select("run_id", "e.seq", "e.from_node", "e.to_node")
 
 
 def failure_cause(nodes: DataFrame) -> DataFrame:

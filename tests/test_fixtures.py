@@ -47,3 +47,25 @@ def test_a_log_deals_its_line_items_once(spark, small):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_edges_take_one_pass_of_the_log(spark, small):
+    plan = dag.edges(fx.run_events(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_long_ways_and_cycles(spark):
+    """A chain of 40 nodes with a cycle behind it, against a walk."""
+    steps = {i: {i + 1} for i in range(40)} | {40: {41}, 41: {39}, 50: {3}}
+    rows = [(1, 1 + n, "edge.added", None, None, a, b, "dependency") for n, (a, b) in enumerate((a, b) for a in steps for b in steps[a])]
+    log = spark.createDataFrame(rows, "run_id long, seq long, event_type string, node_id long, dependencies array<long>, from_node long, to_node long, edge_type string")
+    want = set()
+    for a in steps:
+        todo = list(steps[a])
+        while todo:
+            if (a, b := todo.pop()) not in want:
+                want.add((a, b))
+                todo += steps.get(b, ())
+    got = [(r["from_node"], r["to_node"]) for r in dag.reachable(log).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert [(r["from_node"], r["to_node"]) for r in dag.cyclic(log).collect()] == [(41, 39)]
