@@ -8,7 +8,6 @@ one task: levels take as many rounds as the longest path, reachability their log
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,13 +151,11 @@ def cyclic(log: DataFrame) -> DataFrame:
     dependencies, taking the edges before it; an edge to its own node is one. Edges of other types
     close none.
 
-    All edges are dealt once, and stay so for all rounds; steps and what was seen name an edge by a number."""
+    Steps and what was seen name the edge that is asked about by a number."""
     every = edges(log).where(F.col("edge_type") == DEPENDENCY)
-    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    waits = every.select("run_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("seq").alias("made")).distinct()
+    waits = staged(every.select("run_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), F.col("seq").alias("made")).distinct())
     asked = log.where((F.col("event_type") == "edge.added") & (F.col("edge_type") == DEPENDENCY))
     asked = staged(asked.select("run_id", "seq", "from_node", "to_node", F.monotonically_increasing_id().alias("edge")))
-    waits = staged(waits).repartition(parts, "run_id", "node").persist(StorageLevel.DISK_ONLY)
     here = asked.select("edge", "run_id", "seq", "from_node", F.col("to_node").alias("node"))
     seen, closed = here.select("edge", "node"), here.where("node = from_node").select("edge")
     while True:
@@ -167,7 +164,6 @@ def cyclic(log: DataFrame) -> DataFrame:
         if here.isEmpty():
             break
         seen, closed = seen.union(here.select("edge", "node")), closed.union(here.where("node = from_node").select("edge"))
-    waits.unpersist()
     first = F.min(F.struct("seq", "from_node", "to_node")).alias("e")
     return asked.join(closed, "edge", "left_semi").groupBy("run_id").agg(first).select("run_id", "e.seq", "e.from_node", "e.to_node")
 
