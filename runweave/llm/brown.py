@@ -17,8 +17,11 @@ that the base model has too.
 All counts are over all training texts, added up in tasks and then in Spark. What is broadcast and
 comes to the driver is bounded by parameters: ``head`` words with their counts and classes (16 bytes
 each), a ``core`` x ``core`` and a class x class matrix. Where more than ``head`` words are seen
-``LEAST`` times, the least frequent of them are rare, too. Counts of rare words stay in Spark: the
-scoring pass keeps each text's rare words and looks their counts up by a shuffle.
+``LEAST`` times, the others of them get their classes by the same step, dealt by word, and their
+transitions are counted by joins (``beyond``). Counts of all words that are not broadcast, and
+classes, stay in Spark: the scoring pass keeps each text's words of that kind with the classes
+beside them and looks them up by a shuffle; two in a row take one more. So what a word gets does
+not depend on ``head``.
 
 Defined cases: a null or empty text is its end alone; a null doc_id counts as the empty text for
 the fold; repeated rows are scored and counted again; with no training rows every token has
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +219,10 @@ class Model:
     whole: float  # the same of the base
     tokens: int
     least: int  # the least count of a word with a class
+    types: int = 0
+    moves: np.ndarray | None = None  # counts behind the transitions
+    choice: tuple[np.ndarray, np.ndarray] | None = None  # what further words choose their classes by
+    core: int = 0
 
 
 def collected(blobs: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -305,8 +312,17 @@ def sparse_classes(texts: DataFrame, shared, shared_classes, choose, dense: int,
     return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(collect, "word long, class long")
 
 
+def chosen_by(v: np.ndarray, choice: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The class of each word, from the counts of the classes before it and after it."""
+    to, size = choice
+    k = len(size)
+    score = v[:, :k] @ to + v[:, k:] @ to.T - v[:, :k].sum(1, keepdims=True) * size
+    score[:, :2] = -np.inf
+    return score.argmax(1)
+
+
 def fitted(texts: DataFrame, counts: DataFrame, head: int = HEAD, core: int = CORE, classes: int = CLASSES, dense: int = DENSE, least: int = LEAST) -> Model:
-    """The model of the training ``texts``, whose unigrams are ``counts``."""
+    """The model of the training ``texts``, whose unigrams are ``counts``; words beyond ``head`` are rare, see ``beyond``."""
     if classes > 253:
         raise ValueError("253 classes at most: they are stored in a byte, with those of the end and of rare words")
     spark = texts.sparkSession
@@ -356,21 +372,24 @@ def fitted(texts: DataFrame, counts: DataFrame, head: int = HEAD, core: int = CO
 
         return each
 
-    final = known.astype(np.uint8)
+    size = np.log(np.bincount(known[:core], n[:core], minlength=k) + 0.5)
+
+    def choice_of(follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the counts of class after class of the core words."""
+        follow[:2] = 1
+        return np.log((follow + 0.5) / (follow + 0.5).sum(1, keepdims=True)), size
+
+    final, choice = known.astype(np.uint8), None
     if core < words:
         contexts = written(counted(texts, neighbours, dense, 2 * k), "contexts")
         parts = -(-core // PART)
         vectors = collected(contexts.where(F.col("part") < parts), parts * PART, 2 * k)[:core] if core else np.zeros((0, 2 * k))
         follow = np.zeros((k, k))
         np.add.at(follow, known[:core], vectors[:, k:])
-        follow[:2] += 1
-        to = np.log((follow + 0.5) / (follow + 0.5).sum(1, keepdims=True))  # class before x class
-        size = np.log(np.bincount(known[:core], n[:core], minlength=k) + 0.5)
+        choice = choice_of(follow)
 
         def choose(v: np.ndarray) -> np.ndarray:
-            score = v[:, :k] @ to + v[:, k:] @ to.T - v[:, :k].sum(1, keepdims=True) * size
-            score[:, :2] = -np.inf
-            return score.argmax(1)
+            return chosen_by(v, choice)
 
         def choose_dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -395,13 +414,146 @@ def fitted(texts: DataFrame, counts: DataFrame, head: int = HEAD, core: int = CO
         return each
 
     table = collected(counted(texts, transitions, k, k), k, k)
-    of_class = np.bincount(final[:-1], n, minlength=k)
-    types = np.bincount(final[:-1], minlength=k).astype(float)
+    transition, mass = smoothed(table, *shares(n, final[:-1], n_tokens, n_types, k))
+    choice = choice or choice_of(table.astype(float))  # all words are core words: their neighbours have these classes
+    return Model(units, n, final[:-1], transition, mass, float(np.log10(n_tokens + 0.5 * (n_types + 1))), n_tokens, least, n_types, table, choice, core)
+
+
+def shares(n: np.ndarray, classes: np.ndarray, n_tokens: int, n_types: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and types of each class; all that have none are rare, and a word never seen is a type of those."""
+    of_class, types = np.bincount(classes, n, minlength=k), np.bincount(classes, minlength=k).astype(float)
     of_class[RARE_CLASS] += n_tokens - n.sum()
-    types[RARE_CLASS] += n_types - len(units) + 1
+    types[RARE_CLASS] += n_types - len(n) + 1
+    return of_class, types
+
+
+def smoothed(table: np.ndarray, of_class: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     share = (of_class + 1) / (of_class + 1).sum()
-    transition = np.log10((table + STRENGTH * share) / (table.sum(1, keepdims=True) + STRENGTH))
-    return Model(units, n, final[:-1], transition, np.log10(of_class + 0.5 * types), float(np.log10(n_tokens + 0.5 * (n_types + 1))), n_tokens, least)
+    return np.log10((table + STRENGTH * share) / (table.sum(1, keepdims=True) + STRENGTH)), np.log10(of_class + 0.5 * types)
+
+
+#: In place of a class beside a word: that token is not in the broadcast either, a row of the two tells.
+NONE = 255
+
+
+def beside(i: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of tokens without a number, the classes before and after each as 256 * before + after, and the
+    places of those whose token before has none either. The last token is an end."""
+    lost = i < 0
+    c = np.where(lost, NONE, c)
+    at = np.flatnonzero(lost)
+    before = np.append(END_CLASS, c[:-1])[at]
+    return at, before << 8 | np.append(c, END_CLASS)[at + 1], at[before == NONE]
+
+
+def tally(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns, in order of them, and how often each stands."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))[: len(order)]
+    fresh = np.flatnonzero(new)
+    return [k[fresh] for k in keys], np.diff(np.append(fresh, len(order)))
+
+
+def contexts_of(texts: DataFrame, shared, classes, pairs: bool) -> DataFrame:
+    """(unit, after, code, n): words that ``shared`` does not hold and the classes beside them; with ``pairs`` a
+    neighbour that it does not hold is NONE, and rows of code -1 name two such words in a row, else it is rare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, known, held, size = Numbers(shared.value), classes.value.astype(np.int64), [], 0
+
+        def flush() -> pa.RecordBatch:
+            (unit, after, code), n = tally(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(after.view(np.int64)), pa.array(code.astype(np.int32)), pa.array(n)], names=["unit", "after", "code", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in windows.pieces(batch, "text"):
+                tokens = tokens_of(data, offsets)[0]
+                i = numbers.of(tokens)
+                at, code, twos = beside(i, known[i])
+                if not pairs:
+                    before, after = code >> 8, code & 255
+                    code = np.where(before == NONE, RARE_CLASS, before) << 8 | np.where(after == NONE, RARE_CLASS, after)
+                held.append((tokens[at], np.zeros(len(at), np.uint64), code))
+                if pairs:
+                    held.append((tokens[twos - 1], tokens[twos], np.full(len(twos), -1)))
+                size += len(at)
+                if size >= FLUSH_TOKENS // 4:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return texts.mapInArrow(run, "unit long, after long, code int, n long")
+
+
+def further_classes(contexts: DataFrame, choice: tuple[np.ndarray, np.ndarray], least: int) -> DataFrame:
+    """(unit, n, class) of words from their contexts; those seen less than ``least`` times are rare."""
+    k = len(choice[1])
+
+    def chosen(unit: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        units, row = np.unique(unit, return_inverse=True)
+        for low in range(0, len(units), PART):
+            at = np.flatnonzero((row >= low) & (row < low + PART)) if len(units) > PART else slice(None)
+            r, here = row[at] - low, min(PART, len(units) - low)
+            v = np.bincount(np.concatenate([r * 2 * k + (code[at] >> 8), r * 2 * k + k + (code[at] & 255)]), np.tile(n[at], 2), minlength=here * 2 * k).reshape(here, 2 * k)
+            seen = v[:, :k].sum(1).astype(np.int64)
+            class_ = np.where(seen >= least, chosen_by(v, choice), RARE_CLASS)
+            yield pa.RecordBatch.from_arrays([pa.array(units[low : low + here]), pa.array(seen), pa.array(class_.astype(np.int32))], names=["unit", "n", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= 1 << 14:
+                unit, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.searchsorted(unit, unit[-1]))  # the last word may go on
+                yield from chosen(unit[:whole], code[:whole], n[:whole])
+                held, size = [[unit[whole:], code[whole:], n[whole:]]], 0
+        if held:
+            yield from chosen(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    sums = contexts.groupBy("unit", "code").agg(F.sum("n").alias("n"))
+    return sums.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "unit long, n long, class int")
+
+
+def followed(pairs: DataFrame, words: DataFrame, *carried: str) -> DataFrame:
+    """Two words in a row (unit, after) as the second one beside the class of the first."""
+    found = pairs.join(words.select("unit", "class"), "unit", "left")
+    code = F.lit(1 << 16) + F.coalesce("class", F.lit(RARE_CLASS)) * 256 + NONE
+    return found.select(F.col("after").alias("unit"), *carried, "n", code.cast("int").alias("code"))
+
+
+def beyond(texts: DataFrame, model: Model, least: int = LEAST) -> tuple[Model, DataFrame | None]:
+    """The model with classes for the words that it does not hold but that are seen ``least`` times, and
+    (unit, n, class) of all words that it does not hold; None if no such word has a class."""
+    k = len(model.transition)
+    if model.least <= least or k == 2:
+        return model, None
+    sc = texts.sparkSession.sparkContext
+    shared, final = sc.broadcast(model.units), np.append(model.classes, RARE_CLASS)
+    core = final.copy()
+    core[model.core : -2] = RARE_CLASS  # words choose by core words beside them
+    words = written(further_classes(contexts_of(texts, shared, sc.broadcast(core), False), model.choice, least), "words")
+    contexts = written(contexts_of(texts, shared, sc.broadcast(final), True), "beside")
+    pairs = contexts.where("code < 0").groupBy("unit", "after").agg(F.sum("n").alias("n"))
+    rows = contexts.where("code >= 0").select("unit", "n", "code").union(followed(pairs, words))
+    found = rows.join(words.select("unit", "class"), "unit").groupBy("code", "class").agg(F.sum("n").alias("n")).toArrow()  # few: classes
+    code, own, n = (found.column(c).to_numpy() for c in ("code", "class", "n"))
+    before, after, table = code >> 8 & 255, code & 255, model.moves.copy()
+    at = before < NONE  # all were counted as rare, of two in a row both
+    np.add.at(table, (np.where(code >= 1 << 16, RARE_CLASS, before)[at], RARE_CLASS), -n[at])
+    np.add.at(table, (before[at], own[at]), n[at])
+    at = after < NONE
+    np.add.at(table, (RARE_CLASS, after[at]), -n[at])
+    np.add.at(table, (own[at], after[at]), n[at])
+    of_class, types = shares(model.counts, model.classes, model.tokens, model.types, k)
+    for r in words.where(F.col("class") != RARE_CLASS).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        of_class[[r["class"], RARE_CLASS]] += (r["n"], -r["n"])
+        types[[r["class"], RARE_CLASS]] += (r["types"], -r["types"])
+    transition, mass = smoothed(table, of_class, types)
+    return replace(model, transition=transition, mass=mass, moves=table), words
 
 
 def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -409,8 +561,10 @@ def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1])
 
 
-def scored(docs: DataFrame, counts: DataFrame, model: Model, fold: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def scored(docs: DataFrame, counts: DataFrame, model: Model, fold: Column, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; ``words`` are
+    those of ``beyond``."""
+    deferred = words is not None  # what depends on the class of a word that is not broadcast is added by the look-up
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the frequent words
 
     def make():
@@ -424,52 +578,70 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, fold: Column) -> Da
                 tokens, first = tokens_of(data, offsets)
                 i = numbers.of(tokens)
                 c = final[i]
-                move = m.transition[np.append(END_CLASS, c[:-1]), c]
+                move = m.transition[np.append(END_CLASS, c[:-1]), c] - m.mass[c]
                 rare = i < 0
-                text = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare]
-                order = np.lexsort((tokens[rare], text))
-                unit, text = tokens[rare][order], text[order]
-                fresh = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (text[1:] != text[:-1]))) if len(unit) else np.empty(0, np.int64)
-                times = np.diff(np.append(fresh, len(unit)))
-                ends = np.searchsorted(text[fresh], np.arange(len(first)))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (unit[fresh].view(np.int64), times.astype(np.int64))]
-                out.append((np.diff(first), summed((~rare).astype(np.int64), first), summed(weight[i] - m.whole, first), summed(weight[i] - m.mass[c] + move, first), *lists))
-            arrays = [pa.array(np.concatenate([o[j] for o in out])) for j in range(4)] + [pa.concat_arrays([o[j] for o in out]) for j in (4, 5)]
+                at, code, twos = beside(i, c)
+                if deferred:
+                    move[rare] = 0
+                    after = at[~rare[at + 1]] + 1  # an end is not rare here
+                    move[after] = -m.mass[c[after]]
+                else:
+                    code, twos = np.zeros(len(at), np.int64), twos[:0]
+                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                lists = []
+                for keys in ((text[at], tokens[at], code), (text[twos], tokens[twos - 1], tokens[twos])):
+                    (of, *values), times = tally(*keys)
+                    ends = pa.array(np.searchsorted(of, np.arange(len(first))), pa.int32())
+                    lists += [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64))) for x in (*values, times)]
+                out.append((np.diff(first), summed((~rare).astype(np.int64), first), summed(weight[i] - m.whole, first), summed(weight[i] + move, first), *lists))
+            arrays = [pa.array(np.concatenate([o[j] for o in out])) for j in range(4)] + [pa.concat_arrays([o[j] for o in out]) for j in range(4, 10)]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=names)
 
         return each
 
-    schema = "doc_id long, held_out boolean, n_tokens long, frequent long, base double, value double, rare array<long>, times array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, frequent long, base double, value double, rare array<long>, code array<long>, times array<long>, one array<long>, two array<long>, both array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), text_bytes())
     # the row's number is written with the row, so both readers below see the same one
     rows = written(over_rows(rows, make, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
 
     def flat(batch: pa.RecordBatch) -> pa.RecordBatch:
-        units, times = batch.column(1), batch.column(2)
-        sizes = np.diff(units.offsets.to_numpy())
-        row = np.repeat(batch.column(0).to_numpy(), sizes)
-        return pa.RecordBatch.from_arrays([units.flatten(), pa.array(row), times.flatten()], names=["unit", "row", "n"])
+        row = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+        return pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(row), batch.column(3).flatten(), batch.column(2).flatten()], names=["unit", "row", "n", "code"])
 
-    asked = over_rows(rows.select("row", "rare", "times"), lambda: flat, "unit long, row long, n long")
-    known = counts.where(F.col("n") < model.least).select("unit", F.lit(-1).cast("long").alias("row"), "n")
+    asked = over_rows(rows.select("row", "rare", "code", "times"), lambda: flat, "unit long, row long, n long, code long")
+    if deferred:
+        pairs = over_rows(rows.where(F.size("one") > 0).select("row", "one", "two", "both"), lambda: flat, "unit long, row long, n long, code long")
+        asked = asked.union(followed(pairs.withColumnRenamed("code", "after"), words, "row").withColumn("code", F.col("code").cast("long")))
+        known = words.select("unit", F.lit(-1).cast("long").alias("row"), "n", F.col("class").cast("long").alias("code"))
+    else:
+        known = counts.where(F.col("n") < model.least).select("unit", F.lit(-1).cast("long").alias("row"), "n", F.lit(RARE_CLASS).cast("long").alias("code"))
 
     def look_up(columns: list[np.ndarray], new: np.ndarray, state: dict) -> pa.RecordBatch:
-        _, row, n = columns
+        _, row, n, code = columns
         begins = np.flatnonzero(new)
-        count = np.where(row[begins] < 0, n[begins], 0)
+        count, own = np.where(row[begins] < 0, n[begins], 0), np.where(row[begins] < 0, code[begins], RARE_CLASS)
         if not new[0]:
-            count = np.append(state["count"], count)
-        count = count[np.cumsum(new) - int(new[0])]
-        state["count"] = count[-1]
+            count, own = np.append(state["count"], count), np.append(state["own"], own)
+        place = np.cumsum(new) - int(new[0])
+        count, own = count[place], own[place]
+        state["count"], state["own"] = count[-1], own[-1]
         ask = row >= 0
+        code, own, n, count = code[ask], own[ask], n[ask], count[ask]
         which, place = np.unique(row[ask], return_inverse=True)
-        value = np.bincount(place, n[ask] * np.log10(count[ask] + 0.5), minlength=len(which))
-        seen = np.bincount(place, n[ask] * (count[ask] > 0), minlength=len(which)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(which), pa.array(value), pa.array(seen)], names=["row", "rare_value", "rare_known"])
-
-    rare = by_key(asked.union(known), "unit", ["row"], look_up, "row long, rare_value double, rare_known long")
-    rare = rare.groupBy("row").agg(F.sum("rare_value").alias("rare_value"), F.sum("rare_known").alias("rare_known"))
+        itself = code < 1 << 16  # not the second of two words in a row, which asks on its own too
+        value = np.where(itself, np.log10(count + 0.5), 0.0)
+        score = value
+        if deferred:
+            m = shared.value
+            before, after = code >> 8 & 255, code & 255
+            score = value - np.where(itself, m.mass[own], 0.0)
+            score = score + np.where(before < NONE, m.transition[np.where(before < NONE, before, 0), own], 0.0) + np.where(after < NONE, m.transition[own, np.where(after < NONE, after, 0)], 0.0)
+        sums = [np.bincount(place, n * x, minlength=len(which)) for x in (value, score, itself & (count > 0))]
+        return pa.RecordBatch.from_arrays([pa.array(which), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["row", "rare_value", "rare_score", "rare_known"])
+
+    rare = by_key(asked.union(known), "unit", ["row"], look_up, "row long, rare_value double, rare_score double, rare_known long")
+    rare = rare.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare_value", "rare_score", "rare_known")])
     found = rows.select("row", "doc_id", "held_out", "n_tokens", "frequent", "base", "value").join(rare, "row", "left")
     more = lambda name: F.coalesce(name, F.lit(0))
     return found.select(
@@ -479,7 +651,7 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, fold: Column) -> Da
         (F.col("frequent") + more("rare_known")).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more("rare_value")).alias("base_score"),
-        (F.col("value") + more("rare_value")).alias("score"),
+        (F.col("value") + more("rare_score")).alias("score"),
     )
 
 
@@ -487,8 +659,9 @@ def perplexity(score: Column, tokens: Column) -> Column:
     return F.pow(F.lit(10.0), -score / tokens)
 
 
-def scores(docs: DataFrame, fold: Column) -> DataFrame:
+def scores(docs: DataFrame, fold: Column, head: int = HEAD, **parameters) -> DataFrame:
     """Fit on the rows whose ``fold`` is false, score all."""
     texts = docs.where(~fold).select(text_bytes())
     counts = written(unigrams(texts), "unigrams")
-    return scored(docs, counts, fitted(texts, counts), fold)
+    model, words = beyond(texts, fitted(texts, counts, head, **parameters), parameters.get("least", LEAST))
+    return scored(docs, counts, model, fold, words)

@@ -208,6 +208,17 @@ def test_brown_score_is_that_of_a_plain_class_bigram_model(docs):
     assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in brown.scores(docs, held_out(5)).collect()) == want
 
 
+def test_brown_words_beyond_the_broadcast_have_classes(docs):
+    """The same scores, whether all words are broadcast or only the first ones."""
+    rows = lambda head: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown.scores(docs, held_out(5), head=head, core=6, classes=3, dense=8).collect())
+    texts = docs.where(~held_out(5)).select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    few = brown.fitted(texts, brown.unigrams(texts), head=12, core=6, classes=3, dense=8)
+    assert few.least > brown.LEAST
+    whole, words = brown.beyond(texts, few)
+    assert words.where("class > 1").count() > 3 and np.allclose((10**whole.transition).sum(1), 1) and whole.moves.min() >= 0
+    assert rows(12) == rows(1 << 20)
+
+
 def test_exchange_ends_in_a_local_optimum():
     rng = np.random.default_rng(16)
     f = lambda x: np.sum(x * np.log(np.maximum(x, 1)))
