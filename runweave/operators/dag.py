@@ -75,11 +75,28 @@ def unknown(log: DataFrame) -> DataFrame:
     return named.join(first, ["run_id", "node_id"], "left").where("added_seq is null or added_seq >= seq").select("run_id", "node_id", "seq").distinct()
 
 
+def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """run_id, node_id, pending, running, attempt and blocked of every node: blocked if a dependency, declared or
+    added, is a node that has not succeeded; a skipped one blocks.
+
+    Nodes stand beside the edges that leave them, so both are dealt once, and not at all if their log is dealt by run:
+    joins by run and node would deal each side again."""
+    own = nodes.select(
+        "run_id", F.col("node_id").alias("at"), "node_id", F.lit(False).alias("waits"), (F.col("status") != "succeeded").alias("open"),
+        (F.col("status") == "pending").alias("pending"), (F.col("status") == "running").alias("running"), "attempt",
+    )
+    waits = edges.where(F.col("edge_type") == DEPENDENCY).select("run_id", F.col("from_node").alias("at"), F.col("to_node").alias("node_id"), F.lit(True).alias("waits"))
+    rows = own.unionByName(waits, True).withColumn("blocked", F.col("waits") & F.max("open").over(Window.partitionBy("run_id", "at")))
+    every = rows.groupBy("run_id", "node_id").agg(F.bool_and("waits").alias("unknown"), *[F.max(c).alias(c) for c in ("pending", "running", "attempt", "blocked")])
+    return every.where("not unknown").drop("unknown")
+
+
+_READY = "pending and not blocked"
+
+
 def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pending nodes all of whose dependencies, declared or added, succeeded; a skipped one blocks."""
-    waits = dependencies(edges)
-    blocked = waits.join(nodes.where("status <> 'succeeded'").select("run_id", F.col("node_id").alias("from_node")), ["run_id", "from_node"], "left_semi")
-    return nodes.where("status = 'pending'").join(blocked.select("run_id", F.col("to_node").alias("node_id")), ["run_id", "node_id"], "left_anti").select("run_id", "node_id")
+    return _standing(nodes, edges).where(_READY).select("run_id", "node_id")
 
 
 def outcomes(runs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -89,15 +106,15 @@ def outcomes(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     return runs.select("run_id").distinct().join(per_run, "run_id", "left").select("run_id", outcome.alias("outcome"))
 
 
-def dispatchable(nodes: DataFrame, ready: DataFrame) -> DataFrame:
+def dispatchable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ready nodes, and running ones (after a crash none is in flight); next_attempt keeps a running one's."""
-    running = nodes.where("status = 'running'").select("run_id", "node_id", F.col("attempt").alias("next_attempt"))
-    return ready.join(nodes, ["run_id", "node_id"]).select("run_id", "node_id", (F.col("attempt") + 1).alias("next_attempt")).union(running)
+    able = _standing(nodes, edges).where(f"running or {_READY}")
+    return able.select("run_id", "node_id", F.when(F.col("running"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("next_attempt"))
 
 
 def deadlocks(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Runs with nodes whose outcome is open and of which none can be dispatched."""
-    able = dispatchable(nodes, ready(nodes, edges)).select("run_id").distinct()
+    able = dispatchable(nodes, edges).select("run_id").distinct()
     open_ = outcomes(runs, nodes).where("outcome = 'running'").join(nodes.select("run_id").distinct(), "run_id", "left_semi")
     return open_.join(able, "run_id", "left_anti").select("run_id")
 

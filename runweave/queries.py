@@ -403,15 +403,13 @@ def dag_outcome(spark, d):
 @query
 def dag_dispatchable(spark, d):
     log = fx.run_events(spark, d)
-    nodes = dag.nodes(log)
-    return _long(dag.dispatchable(nodes, dag.ready(nodes, dag.edges(log))), "node_id", "next_attempt")
+    return _long(dag.dispatchable(dag.nodes(log), dag.edges(log)), "node_id", "next_attempt")
 
 
 @query
 def next_attempt(spark, d):
     log = fx.run_events(spark, d)
-    nodes = dag.nodes(log)
-    return dag.dispatchable(nodes, dag.ready(nodes, dag.edges(log))).groupBy(F.col("next_attempt").cast("long").alias("next_attempt")).agg(F.count("*").alias("n"))
+    return dag.dispatchable(dag.nodes(log), dag.edges(log)).groupBy(F.col("next_attempt").cast("long").alias("next_attempt")).agg(F.count("*").alias("n"))
 
 
 @query

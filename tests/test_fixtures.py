@@ -1,8 +1,11 @@
 """The event log that Spark builds in one pass against the SQL that defines it."""
 
+import random
+
 import pytest
 
 from runweave.operators import dag
+from runweave.queries import QUERIES
 from runweave.sources import fixtures as fx
 from runweave.sources.fixtures import RUN_EVENTS
 
@@ -80,3 +83,64 @@ def test_a_task_of_the_log_takes_no_more_as_tables_grow(spark, small, monkeypatc
     monkeypatch.setattr(fx, "TASK_LINES", n // 20), monkeypatch.setattr(fx, "MOST_LINES", n)
     plan = dag.nodes(fx.run_events(spark, small))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(run_id#") == 2 == plan.count(f", {fx._parts(spark, lines)}), REPARTITION_BY_NUM")
+
+
+def exchanges(spark, df):
+    """How often a plan without broadcasts deals rows, and how often it does so for a join or a group by run."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plan.count("Exchange "), len([x for x in plan.splitlines() if "Exchange hashpartitioning(run_id#" in x and "REPARTITION_BY_NUM" not in x])
+
+
+def test_ready_and_dispatchable_nodes_deal_no_events(spark, small):
+    log = fx.run_events(spark, small)
+    for df in (dag.ready(dag.nodes(log), dag.edges(log)), dag.dispatchable(dag.nodes(log), dag.edges(log)), QUERIES["dag_dispatchable"](spark, small)):
+        assert exchanges(spark, df) == (4, 0)
+    assert exchanges(spark, QUERIES["next_attempt"](spark, small)) == (5, 0)
+
+
+ODD_GRAPHS = "run_id long, seq long, event_type string, node_id long, attempt int, output string, dependencies array<long>, from_node long, to_node long, edge_type string"
+
+
+def odd_graphs(spark):
+    """Nodes added twice and never, edges of other types, repeated, to their own node, to and from nodes that are not there or null."""
+    draw, rows = random.Random(7), []
+    for run in range(60):
+        n, seq = draw.randint(1, 9), 0
+        for _ in range(draw.randint(1, 40)):
+            seq, node, kind = seq + 1, draw.randrange(n), draw.choice(["node.added"] * 3 + ["node.started", "node.succeeded", "node.succeeded", "node.failed", "node.skipped", "edge.added"])
+            deps = [draw.choice([*range(n + 2), None]) for _ in range(draw.randint(0, 2))] if kind == "node.added" else None
+            ends = (draw.choice([*range(n + 2), None]), draw.choice([*range(n + 2), None]), draw.choice(["dependency", "reject"])) if kind == "edge.added" else (None, None, None)
+            rows.append((run, seq, kind, None if ends[2] else node, draw.randint(0, 2), draw.choice([None, f"o{seq}"]), deps, *ends))
+    return rows, spark.createDataFrame(rows, ODD_GRAPHS)
+
+
+def by_walk(rows):
+    """Status, attempt and output of nodes, and the dependencies, from an event at a time."""
+    status, attempt, output, waits = {}, {}, {}, set()
+    for run, _, kind, node, tried, out, deps, a, b, edge in rows:
+        if kind != "edge.added":
+            status[run, node] = dag.STATUS[kind]
+            if kind in ("node.started", "node.failed"):
+                attempt[run, node] = tried
+            if kind == "node.succeeded":
+                output[run, node] = out
+            waits |= {(run, d, node) for d in deps or ()}
+        elif edge == "dependency":
+            waits.add((run, a, b))
+    return status, attempt, output, waits
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_ready_and_dispatchable_on_odd_graphs(spark, parts):
+    rows, log = odd_graphs(spark)
+    log = log.repartition(parts, "run_id")
+    status, attempt, _, waits = by_walk(rows)
+    blocked = {(run, b) for run, a, b in waits if status.get((run, a), "succeeded") != "succeeded"}
+    free = {k for k, v in status.items() if v == "pending" and k not in blocked}
+    assert free and sorted(map(tuple, dag.ready(dag.nodes(log), dag.edges(log)).collect())) == sorted(free)
+    want = [(*k, attempt.get(k, 0) + 1) for k in free] + [(*k, attempt[k]) for k, v in status.items() if v == "running"]
+    assert sorted(map(tuple, dag.dispatchable(dag.nodes(log), dag.edges(log)).collect())) == sorted(want)
