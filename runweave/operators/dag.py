@@ -121,8 +121,11 @@ def deadlocks(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """run_id, node_id, dependency and its output; an empty object if it has none."""
-    dep = nodes.select("run_id", F.col("node_id").alias("from_node"), F.coalesce("output", F.lit("{}")).alias("output"))
-    return dependencies(edges).join(dep, ["run_id", "from_node"]).select("run_id", F.col("to_node").alias("node_id"), F.col("from_node").alias("dependency"), "output")
+    own = nodes.select("run_id", F.col("node_id").alias("dependency"), F.lit(False).alias("waits"), F.coalesce("output", F.lit("{}")).alias("output"))
+    waits = dependencies(edges).select("run_id", F.col("from_node").alias("dependency"), F.col("to_node").alias("node_id"), F.lit(True).alias("waits"))
+    # side by side, as in _standing; the dependency has one row
+    rows = own.unionByName(waits, True).withColumn("output", F.max("output").over(Window.partitionBy("run_id", "dependency")))
+    return rows.where("waits and output is not null").select("run_id", "node_id", "dependency", "output")
 
 
 def levels(log: DataFrame) -> DataFrame:

@@ -144,3 +144,19 @@ def test_ready_and_dispatchable_on_odd_graphs(spark, parts):
     assert free and sorted(map(tuple, dag.ready(dag.nodes(log), dag.edges(log)).collect())) == sorted(free)
     want = [(*k, attempt.get(k, 0) + 1) for k in free] + [(*k, attempt[k]) for k, v in status.items() if v == "running"]
     assert sorted(map(tuple, dag.dispatchable(dag.nodes(log), dag.edges(log)).collect())) == sorted(want)
+
+
+def test_inputs_of_nodes_deal_no_events(spark, small):
+    log = fx.run_events(spark, small)
+    for df in (dag.inputs(dag.nodes(log), dag.edges(log)), QUERIES["node_inputs"](spark, small)):
+        assert exchanges(spark, df) == (4, 0)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_inputs_of_nodes_on_odd_graphs(spark, parts):
+    rows, log = odd_graphs(spark)
+    log = log.repartition(parts, "run_id")
+    status, _, output, waits = by_walk(rows)
+    want = [(run, b, a, output.get((run, a)) or "{}") for run, a, b in waits if (run, a) in status]
+    order = lambda r: tuple((v is None, str(v)) for v in r)
+    assert want and sorted(map(tuple, dag.inputs(dag.nodes(log), dag.edges(log)).collect()), key=order) == sorted(want, key=order)
