@@ -76,7 +76,7 @@ def unknown(log: DataFrame) -> DataFrame:
 
 
 def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """run_id, node_id, pending, running, attempt and blocked of every node: blocked if a dependency, declared or
+    """run_id, node_id, pending, running, failed, attempt and blocked of every node: blocked if a dependency, declared or
     added, is a node that has not succeeded; a skipped one blocks.
 
     Nodes stand beside the edges that leave them, so both are dealt once, and not at all if their log is dealt by run:
@@ -84,10 +84,11 @@ def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = nodes.select(
         "run_id", F.col("node_id").alias("at"), "node_id", F.lit(False).alias("waits"), (F.col("status") != "succeeded").alias("open"),
         (F.col("status") == "pending").alias("pending"), (F.col("status") == "running").alias("running"), "attempt",
+        (F.col("status") == "failed").alias("failed"),
     )
     waits = edges.where(F.col("edge_type") == DEPENDENCY).select("run_id", F.col("from_node").alias("at"), F.col("to_node").alias("node_id"), F.lit(True).alias("waits"))
     rows = own.unionByName(waits, True).withColumn("blocked", F.col("waits") & F.max("open").over(Window.partitionBy("run_id", "at")))
-    every = rows.groupBy("run_id", "node_id").agg(F.bool_and("waits").alias("unknown"), *[F.max(c).alias(c) for c in ("pending", "running", "attempt", "blocked")])
+    every = rows.groupBy("run_id", "node_id").agg(F.bool_and("waits").alias("unknown"), *[F.max(c).alias(c) for c in ("pending", "running", "attempt", "blocked", "failed")])
     return every.where("not unknown").drop("unknown")
 
 
@@ -114,9 +115,9 @@ def dispatchable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deadlocks(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Runs with nodes whose outcome is open and of which none can be dispatched."""
-    able = dispatchable(nodes, edges).select("run_id").distinct()
-    open_ = outcomes(runs, nodes).where("outcome = 'running'").join(nodes.select("run_id").distinct(), "run_id", "left_semi")
-    return open_.join(able, "run_id", "left_anti").select("run_id")
+    able, idle = F.bool_or(F.expr(f"running or {_READY}")), F.bool_or(F.expr("pending and blocked"))
+    stuck = _standing(nodes, edges).groupBy("run_id").agg(F.bool_or("failed").alias("failed"), able.alias("able"), idle.alias("idle")).where("idle and not failed and not able")
+    return stuck.select("run_id").join(runs.select("run_id").distinct(), "run_id", "left_semi")
 
 
 def inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
