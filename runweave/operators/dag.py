@@ -76,11 +76,12 @@ def unknown(log: DataFrame) -> DataFrame:
 
 
 def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """run_id, node_id, pending, running, failed, attempt and blocked of every node: blocked if a dependency, declared or
-    added, is a node that has not succeeded; a skipped one blocks.
+    """run_id, node_id, pending, running, failed, attempt and blocked of every node that is one of these: blocked if a
+    dependency, declared or added, is a node that has not succeeded; a skipped one blocks.
 
     Nodes stand beside the edges that leave them, so both are dealt once, and not at all if their log is dealt by run:
-    joins by run and node would deal each side again."""
+    joins by run and node would deal each side again. Nodes that are done and edges that hold nothing up, most of a
+    log, end before they are grouped."""
     own = nodes.select(
         "run_id", F.col("node_id").alias("at"), "node_id", F.lit(False).alias("waits"), (F.col("status") != "succeeded").alias("open"),
         (F.col("status") == "pending").alias("pending"), (F.col("status") == "running").alias("running"), "attempt",
@@ -88,6 +89,7 @@ def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     waits = edges.where(F.col("edge_type") == DEPENDENCY).select("run_id", F.col("from_node").alias("at"), F.col("to_node").alias("node_id"), F.lit(True).alias("waits"))
     rows = own.unionByName(waits, True).withColumn("blocked", F.col("waits") & F.max("open").over(Window.partitionBy("run_id", "at")))
+    rows = rows.where("blocked or not waits and (pending or running or failed)")
     every = rows.groupBy("run_id", "node_id").agg(F.bool_and("waits").alias("unknown"), *[F.max(c).alias(c) for c in ("pending", "running", "attempt", "blocked", "failed")])
     return every.where("not unknown").drop("unknown")
 

@@ -146,6 +146,15 @@ def test_ready_and_dispatchable_on_odd_graphs(spark, parts):
     assert sorted(map(tuple, dag.dispatchable(dag.nodes(log), dag.edges(log)).collect())) == sorted(want)
 
 
+def test_done_nodes_are_not_grouped_by_what_they_wait_for(spark, small):
+    log = fx.run_events(spark, small)
+    nodes, edges = dag.nodes(log), dag.edges(log)
+    for df in (dag.ready(nodes, edges), dag.dispatchable(nodes, edges)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        grouped, beside = (next(k for k, x in enumerate(plan) if name in x) for name in ("Aggregate [run_id", "Window ["))
+        assert [x for x in plan[grouped:beside] if "+- Filter (" in x]
+
+
 def test_inputs_of_nodes_deal_no_events(spark, small):
     log = fx.run_events(spark, small)
     for df in (dag.inputs(dag.nodes(log), dag.edges(log)), QUERIES["node_inputs"](spark, small)):
