@@ -75,26 +75,28 @@ def unknown(log: DataFrame) -> DataFrame:
     return named.join(first, ["run_id", "node_id"], "left").where("added_seq is null or added_seq >= seq").select("run_id", "node_id", "seq").distinct()
 
 
+#: States of a node where only these count: of the last, whatever else holds up, and what does not.
+_PENDING, _RUNNING, _FAILED, _OPEN, _DONE = range(5)
+
+
 def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """run_id, node_id, pending, running, failed, attempt and blocked of every node that is one of these: blocked if a
+    """run_id, node_id, state, attempt and blocked of every node that is pending, running or failed: blocked if a
     dependency, declared or added, is a node that has not succeeded; a skipped one blocks.
 
     Nodes stand beside the edges that leave them, so both are dealt once, and not at all if their log is dealt by run:
-    joins by run and node would deal each side again. Nodes that are done and edges that hold nothing up, most of a
-    log, end before they are grouped."""
-    own = nodes.select(
-        "run_id", F.col("node_id").alias("at"), "node_id", F.lit(False).alias("waits"), (F.col("status") != "succeeded").alias("open"),
-        (F.col("status") == "pending").alias("pending"), (F.col("status") == "running").alias("running"), "attempt",
-        (F.col("status") == "failed").alias("failed"),
-    )
-    waits = edges.where(F.col("edge_type") == DEPENDENCY).select("run_id", F.col("from_node").alias("at"), F.col("to_node").alias("node_id"), F.lit(True).alias("waits"))
-    rows = own.unionByName(waits, True).withColumn("blocked", F.col("waits") & F.max("open").over(Window.partitionBy("run_id", "at")))
-    rows = rows.where("blocked or not waits and (pending or running or failed)")
-    every = rows.groupBy("run_id", "node_id").agg(F.bool_and("waits").alias("unknown"), *[F.max(c).alias(c) for c in ("pending", "running", "attempt", "blocked", "failed")])
-    return every.where("not unknown").drop("unknown")
+    joins by run and node would deal each side again. What is sorted for that is one number for a node's state, none
+    for an edge. Nodes that are done and edges that hold nothing up, most of a log, end before they are grouped."""
+    is_, state = lambda status: F.col("status") == status, F.col("state")
+    code = F.when(is_("pending"), _PENDING).when(is_("running"), _RUNNING).when(is_("failed"), _FAILED).when(~is_("succeeded"), _OPEN).otherwise(_DONE)
+    own = nodes.select("run_id", F.col("node_id").alias("at"), "node_id", code.alias("state"), "attempt")
+    waits = edges.where(F.col("edge_type") == DEPENDENCY).select("run_id", F.col("from_node").alias("at"), F.col("to_node").alias("node_id"))
+    rows = own.unionByName(waits, True).withColumn("of_at", F.min("state").over(Window.partitionBy("run_id", "at")))
+    rows = rows.where((state <= _FAILED) | state.isNull() & (F.col("of_at") <= _OPEN))
+    every = rows.groupBy("run_id", "node_id").agg(F.max("state").alias("state"), F.max("attempt").alias("attempt"), F.bool_or(state.isNull()).alias("blocked"))
+    return every.where(state.isNotNull())
 
 
-_READY = "pending and not blocked"
+_READY, _ABLE = f"state = {_PENDING} and not blocked", f"state = {_RUNNING} or state = {_PENDING} and not blocked"
 
 
 def ready(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -111,14 +113,14 @@ def outcomes(runs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def dispatchable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Ready nodes, and running ones (after a crash none is in flight); next_attempt keeps a running one's."""
-    able = _standing(nodes, edges).where(f"running or {_READY}")
-    return able.select("run_id", "node_id", F.when(F.col("running"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("next_attempt"))
+    able = _standing(nodes, edges).where(_ABLE)
+    return able.select("run_id", "node_id", F.when(F.col("state") == _RUNNING, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("next_attempt"))
 
 
 def deadlocks(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Runs with nodes whose outcome is open and of which none can be dispatched."""
-    able, idle = F.bool_or(F.expr(f"running or {_READY}")), F.bool_or(F.expr("pending and blocked"))
-    stuck = _standing(nodes, edges).groupBy("run_id").agg(F.bool_or("failed").alias("failed"), able.alias("able"), idle.alias("idle")).where("idle and not failed and not able")
+    failed, able, idle = (F.bool_or(F.expr(x)) for x in (f"state = {_FAILED}", _ABLE, f"state = {_PENDING} and blocked"))
+    stuck = _standing(nodes, edges).groupBy("run_id").agg(failed.alias("failed"), able.alias("able"), idle.alias("idle")).where("idle and not failed and not able")
     return stuck.select("run_id").join(runs.select("run_id").distinct(), "run_id", "left_semi")
 
 

@@ -155,6 +155,14 @@ def test_done_nodes_are_not_grouped_by_what_they_wait_for(spark, small):
         assert [x for x in plan[grouped:beside] if "+- Filter (" in x]
 
 
+def test_what_is_sorted_to_find_ready_nodes_is_narrow(spark, small):
+    log = fx.run_events(spark, small)
+    for df in (dag.ready(dag.nodes(log), dag.edges(log)), dag.dispatchable(dag.nodes(log), dag.edges(log))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        beside = next(k for k, x in enumerate(plan) if "Union" in x)
+        assert plan[beside + 1].count(" AS ") <= 2
+
+
 def test_inputs_of_nodes_deal_no_events(spark, small):
     log = fx.run_events(spark, small)
     for df in (dag.inputs(dag.nodes(log), dag.edges(log)), QUERIES["node_inputs"](spark, small)):
