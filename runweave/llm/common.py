@@ -14,6 +14,8 @@ from runweave.sources.staging import forget_at_exit, shared_dir
 #: Rows of one Arrow batch: long texts must not gather in a worker.
 BATCH_ROWS = 400
 BATCH_BYTES = 8 << 20
+#: Words of 64 bits that tell which keys are among others: two million keys let one in nine of the others pass.
+SIEVE = 1 << 18
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -78,6 +80,18 @@ def by_key(df: DataFrame, key: str, order: list[str], each: Callable, schema: st
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def sifted(rows: DataFrame, keys: list[str], some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts, without a shuffle: all whose ``keys`` (not null) are in ``some``, with a few others that
+    share a bit with one of those, and the rest. What is broadcast has SIEVE rows at most, however many ``some`` has."""
+    hashed = F.xxhash64(*keys)
+    word = F.pmod(hashed, F.lit(SIEVE)).alias("_runweave_word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hashed, 40), F.lit(64)).cast("int"))
+    sieve = written(some.select(word, bit.alias("bit")).groupBy("_runweave_word").agg(F.bit_or("bit").alias("_runweave_bits")), "sieve")
+    met = rows.withColumns({"_runweave_word": word, "_runweave_bit": bit}).join(F.broadcast(sieve), "_runweave_word", "left")
+    hit = F.coalesce(F.col("_runweave_bits").bitwiseAND(F.col("_runweave_bit")) != 0, F.lit(False))
+    return tuple(met.where(x).drop("_runweave_word", "_runweave_bit", "_runweave_bits") for x in (hit, ~hit))
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

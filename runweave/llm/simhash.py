@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm import windows
-from runweave.llm.common import columns, over_rows, text_bytes, text_hash, written
+from runweave.llm.common import columns, over_rows, sifted, text_bytes, text_hash, written
 from runweave.llm.components import attached, components
 from runweave.llm.imatch import terms_of
 
@@ -41,8 +41,9 @@ SEED = 42
 TILE, CROWD, CROWDS, LOOK = 2048, 1 << 14, 1000, 64
 #: Members of a component that a task compares with others at once.
 MEMBERS = 512
-#: Documents of the sample for frequent shingles, and those at most; rows of a task's prefixes and pairs of them at once.
-SAMPLE, FREQUENT, ROWS, AT_ONCE = 5_000, 200_000, 1 << 16, 1 << 20
+#: Documents of the sample for frequent shingles at least, of which it has one in so many, and those shingles at most;
+#: rows of a task's prefixes and pairs of them at once.
+SAMPLE, SHARE, FREQUENT, ROWS, AT_ONCE = 5_000, 64, 200_000, 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -363,10 +364,12 @@ def deduplicated(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     others; of rows that share it, the least text hash; of equal rows one)."""
     kept = similar(docs, plan).select(F.col("kept.doc_id").alias("_runweave_id"), F.col("kept.text_hash").alias("_runweave_hash"))
     lowest = F.lit(-(1 << 63))  # a null id
-    kept = kept.withColumn("_runweave_id", F.coalesce("_runweave_id", lowest))
+    kept = written(kept.withColumn("_runweave_id", F.coalesce("_runweave_id", lowest)), "kept")
     once = docs.withColumns({"_runweave_id": F.coalesce(F.col("doc_id").cast("long"), lowest), "_runweave_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
     keys = ["_runweave_id", "_runweave_hash"]  # the join deals rows by them already, so equal rows stand together
-    return once.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    every = once.groupBy(*keys).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), keys, "left")
+    some, others = sifted(once, keys, every.where("stays is null or n > 1"))  # most rows stay, and stay where they are
+    return others.drop(*keys).union(some.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys))
 
 
 def similar(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
@@ -408,21 +411,69 @@ def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """Parities of a set, in 64 bits or the next power of two of its size: two sets differ in as many members at
+    least as their sketches in bits."""
+    bits = max(64, 1 << max(len(members) - 1, 0).bit_length())
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Sketches (64-bit words, in the last axis) as of n words."""
+    while words.shape[-1] > n:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
 def shingled(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, text_hash, node and ``fp`` (binary) of every document."""
+    """doc_id, text_hash, node, ``fp`` (binary), size and sketch of the set of every document."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, prints = [], []
-            for members in shingle_sets(batch, "text", plan.shingle):
-                nodes.append(node_of(members))
-                prints.append(fingerprint(members, plan))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "text_hash", "node", "fp"])
+            out = [(node_of(x), fingerprint(x, plan), len(x), sketch(x)) for x in shingle_sets(batch, "text", plan.shingle)]
+            own = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["doc_id", "text_hash", "node", "fp", "size", "sketch"])
 
         return each
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text_bytes())
-    return over_rows(rows, make, "doc_id long, text_hash long, node long, fp binary")
+    return over_rows(rows, make, "doc_id long, text_hash long, node long, fp binary, size long, sketch binary")
+
+
+def possible(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, root, tile): rows of ``dealt`` (node, root, tile, held) that are not held and that sizes and
+    ``sketches`` (node, size, sketch) allow a similarity of 0.8 and more to one that is, in their tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, index = None, {}  # the open tile's members by the words of their sketches
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            for node, root, tile, member, size, own in zip(*columns(batch, "node", "root", "tile", "held", "size", "sketch"), strict=True):
+                if (root, tile) != key:
+                    key, index = (root, tile), {}
+                own = np.frombuffer(own, "<u8")
+                if member:
+                    index.setdefault(len(own), []).append((node, size, own))
+                    continue
+                for n, rows in index.items():
+                    if isinstance(rows, list):
+                        rows = index[n] = tuple(np.array(x) for x in zip(*rows, strict=True))
+                    if max(n, len(own)) > 2 * min(n, len(own)):
+                        continue  # of two sizes of which one is 1.25 times the other at most
+                    nodes, sizes, words = rows
+                    least = min(n, len(own))
+                    apart = np.bitwise_count(folded(words, least) ^ folded(own, least)).sum(1, dtype=np.int64)
+                    if ((9 * np.maximum(apart, abs(sizes - size)) <= sizes + size) & (nodes != node)).any():
+                        out.append((node, root, tile))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["node", "root", "tile"])
+
+    rows = dealt.join(sketches, "node").select("node", "root", "tile", "held", "size", "sketch")
+    return rows.repartition("root", "tile").sortWithinPartitions("root", "tile", F.desc("held")).mapInArrow(run, "node long, root long, tile int")
 
 
 def confirmed(asked: DataFrame, members: DataFrame, prints: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
@@ -431,7 +482,7 @@ def confirmed(asked: DataFrame, members: DataFrame, prints: DataFrame, docs: Dat
     tile by tile, and gives one pair a tile.
 
     No row is made for a pair: an a travels to the tiles of a root, a b to one of them. Texts travel
-    compressed."""
+    compressed, and hardly any but those that are compared: those whose sketches leave it open."""
     asked = written(asked, "asked")
     members = written(members.select(F.col("b").alias("node"), "root"), "members")
     tiles = members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("tiles"))
@@ -441,10 +492,16 @@ def confirmed(asked: DataFrame, members: DataFrame, prints: DataFrame, docs: Dat
     others = others.select("node", "root", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(False).alias("held"))
     dealt = written(members.union(others), "dealt")
 
+    own, _ = sifted(prints, ["node"], dealt)
+    left = written(possible(dealt, own.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))), "possible")
+    tiles = left.select("root", "tile").distinct()
+    dealt = written(dealt.where("held").join(tiles, ["root", "tile"], "left_semi").select(dealt.columns).union(left.withColumn("held", F.lit(False))), "left")
+
     lowest = F.lit(-(1 << 63))  # a null id
     first = F.min(F.struct(F.coalesce("doc_id", lowest).alias("id"), F.col("text_hash").alias("hash"))).alias("one")
-    who = prints.groupBy("node").agg(first).join(dealt.select("node").distinct(), "node", "left_semi").select("node", "one.id", "one.hash")
+    who = written(prints.groupBy("node").agg(first).join(dealt.select("node").distinct(), "node", "left_semi").select("node", "one.id", "one.hash"), "who")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id"), text_hash().alias("hash"), text_bytes())
+    rows, _ = sifted(rows, ["id", "hash"], who)
     texts = packed(rows).join(who, ["id", "hash"]).select("node", "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,7 +573,7 @@ def frequent(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
 
         return each
 
-    apart = max(1, docs.count() // SAMPLE)
+    apart = min(SHARE, max(1, docs.count() // SAMPLE))  # a share, or what counts as rare grows with the documents, and pairs with its square
     rows = docs.where(F.pmod(text_hash(), F.lit(apart)) == 0).select(text_bytes())
     counts = over_rows(rows, make, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     top = counts.where("n >= 3").orderBy(F.desc("n"), "unit").limit(FREQUENT).toPandas()
@@ -616,6 +673,8 @@ def sharing(docs: DataFrame, roots: DataFrame, plan: Plan) -> tuple[DataFrame, D
 
 def shared_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many members the prefixes of similar sets of these sizes share at least: of the set whose prefix
-    ends first, all members of it that the other set has are in the other's prefix too."""
+    ends first, all members of it that the other set has are in the other's prefix too. That is a set's own
+    prefix without what it alone has, and least for the longer set. Without the roundings, which would make
+    it rise and fall with a size by one, it is 1 - (4 * longer + 4) / 5 + 4 * (a + b) / 9 at least."""
     shorter, longer = np.minimum(a, b), np.maximum(a, b)
-    return prefix_length(shorter) - (longer - (4 * (a + b) + 8) // 9)
+    return -((16 * longer - 20 * shorter - 9) // 45)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runweave.llm import brown, byte_bpe, components, decontamination, imatch, repair, sharding, simhash, substring, suffix, toxicity
-from runweave.llm.common import held_out
+from runweave.llm.common import held_out, sifted
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "ré", "Sa", "vo") for b in ("n", "ra", "st", "x,", "l.", "")]
 
@@ -536,6 +536,56 @@ def test_near_copies_are_those_of_brute_force_jaccard(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(least.values())
 
 
+def test_few_shared_shingles_propose_no_link(spark):
+    """Sets of which one is larger share a passage: as far from a similarity of 0.8 as any."""
+    rng, rows = random.Random(8), []
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(30):
+        passage = text(24)
+        rows += [(2 * k, " ".join(text(480) + passage)), (2 * k + 1, " ".join(text(410) + passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, _ = simhash.sharing(docs, spark.createDataFrame([], "node long, root long"), simhash.NEAR)
+    assert found.count() == 0
+
+
+def test_shared_least_is_a_bound_and_no_loose_one():
+    longer, shorter = np.meshgrid(np.arange(1, 400), np.arange(1, 400))
+    take = (5 * shorter >= 4 * longer) & (shorter <= longer)
+    longer, shorter = longer[take], shorter[take]
+    both = (4 * (longer + shorter) + 8) // 9
+    exact = np.minimum(simhash.prefix_length(longer) - (longer - both), simhash.prefix_length(shorter) - (shorter - both))
+    least = simhash.shared_least(shorter, longer)
+    assert (least <= exact).all() and (least >= exact - 1).all() and least.min() == 1
+    assert (least == simhash.shared_least(longer, shorter)).all()
+
+
+def test_sketches_refuse_no_similar_sets(spark):
+    rng = np.random.default_rng(4)
+    every = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    words = lambda x: np.frombuffer(simhash.sketch(x), "<u8")
+    for n in (0, 1, 5, 64, 65, 500, 1100):
+        for _ in range(20):
+            a, b = rng.choice(every, n, replace=False), rng.choice(every, int(n * rng.uniform(0.8, 1.25)), replace=False)
+            b = np.unique(np.append(b, a[: rng.integers(0, n + 1)]))
+            x, y = words(a), words(b)
+            least = min(len(x), len(y))
+            assert simhash.near(simhash.folded(x, least), simhash.folded(y, least)) <= len(np.setxor1d(a, b))
+    a = rng.choice(every, 1000, replace=False)
+    close, far = np.append(a[:950], np.uint64(7)), np.append(a[:700], np.setdiff1d(every, a)[:300])
+    rows = [(i, len(x), simhash.sketch(x)) for i, x in enumerate((a, close, far))]
+    dealt = spark.createDataFrame([(0, 9, 0, True), (0, 9, 0, False), (1, 9, 0, False), (2, 9, 0, False)], "node long, root long, tile int, held boolean")
+    left = simhash.possible(dealt, spark.createDataFrame(rows, "node long, size long, sketch binary"))
+    assert [tuple(r) for r in left.collect()] == [(1, 9, 0)]
+
+
+def test_sifted_keeps_all_keys(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") * 7 - 9).alias("b"), F.lit("x").alias("further.one"))
+    some, others = sifted(rows, ["a", "b"], rows.where("a % 10 = 0"))
+    ids = {r["a"] for r in some.collect()}
+    assert some.columns == others.columns == rows.columns and set(range(0, 20_000, 10)) <= ids and len(ids) < 2100
+    assert sorted(r["a"] for r in others.collect()) == sorted(set(range(20_000)) - ids)
+
+
 # --- toxicity ------------------------------------------------------------------------------------
 
 
